@@ -10,7 +10,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import discard, materialize, require, row_key
+from tessera.llm.shared import discard, materialize, release, require, row_key
 from tessera.llm.words import inside, ragged_ranges, slices, split_words, text_of_word, window_hashes, word_hashes
 
 #: A run of window starts as one long: the first start and, in the low bits, how many.
@@ -99,24 +99,30 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     alive = None
     for length in levels(window, first):
-        source = texts
-        if alive is not None:
-            runs = alive.select(F.col("row_key").alias("k"), "runs")
-            source = texts.join(runs, F.col("row_key") == F.col("k")).select("row_key", "text", "runs")
-        rows = materialize(
-            source.mapInArrow(_rows_at(length, window, alive is not None), "h long, check int, row_key long, run long"), "windows"
-        )
+        rows = _window_rows(texts, alive, length, window)
+        release(docs.sparkSession)  # the shuffled texts
         repeated = materialize(
             rows.groupBy("h", "check").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("rh"), F.col("check").alias("rc")), "repeated"
         )
-        survivors = rows.join(repeated, (F.col("h") == F.col("rh")) & (F.col("check") == F.col("rc")))
-        following = materialize(survivors.groupBy("row_key").agg(F.collect_set("run").alias("runs")), "alive")
+        release(docs.sparkSession)  # the counted hashes
+        following = materialize(
+            rows.join(repeated, (F.col("h") == F.col("rh")) & (F.col("check") == F.col("rc"))).groupBy("row_key").agg(F.collect_set("run").alias("runs")), "alive"
+        )
         for table in (rows, repeated, alive):
             discard(table)
         alive = following
     return alive
 
 
+def _window_rows(texts: DataFrame, alive: DataFrame | None, length: int, window: int) -> DataFrame:
+    """The rows of one level as a written table."""
+    source = texts
+    if alive is not None:
+        runs = alive.select(F.col("row_key").alias("k"), "runs")
+        source = texts.join(runs, F.col("row_key") == F.col("k")).select("row_key", "text", "runs")
+    return materialize(source.mapInArrow(_rows_at(length, window, alive is not None), "h long, check int, row_key long, run long"), "windows")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, first: int = 18) -> DataFrame:
     """(id, n_words, n_removed, kept_text): every row of `docs`, without the words
     that a repeated window covers.

@@ -35,13 +35,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_tessera_path", None)
