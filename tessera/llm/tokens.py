@@ -31,7 +31,7 @@ from tessera.llm.words import ragged_ranges, slices, split_words, word_codes
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, DESCRIPTOR = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 #: Distinct words whose ids a worker remembers between batches.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 700_000
 
 
 class WordEncoder:
@@ -51,7 +51,7 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.flat, self.ends = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def check(self) -> bool:
         probe = ["It's  a", "Straße,\tÉté\n", "x1 2y z 　", " ", "", "don't 'LL <|x|> %%% é́"]
@@ -60,18 +60,22 @@ class WordEncoder:
 
     def _learn(self, words: Sequence[str]) -> None:
         new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        base = len(self.ends) - 1
+        self.known.update(zip(new, range(base, base + len(new))))
+        flat, counts = [], []
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            base = len(self.ends) - 1
-            self.known.update(zip(some, range(base, base + len(some))))
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            self.flat = np.concatenate([self.flat, np.array([x for y in ids for x in y], dtype=np.int64)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            flat.append(np.array([x for y in ids for x in y], dtype=np.int32))
+            counts.append(sizes)
+        if new:
+            self.flat = np.concatenate([self.flat, *flat])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each): null texts count as empty; `end_id` ends each text."""
-        apart = pc.replace_substring_regex(pc.fill_null(texts, ""), r"(\p{L})([.,!?*$%&#;:]+)(\s|$)", r"\1 \2\3")
+        apart = pc.replace_substring_regex(pc.fill_null(texts, ""), r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?*$%&#;:]+)(\s|$)", r"\1 \2\3")
         offsets, words = split_words(apart)
         codes, distinct = word_codes(words)
         # A-Z are lower-cased by the tokenizer, too; only in its special tokens, which have "<|", case counts
@@ -220,7 +224,7 @@ def write_shards(
         out = ShardWriter(f"{folder}/shard-{task.partitionId():06d}.tok.zst", str(task.taskAttemptId()), tool.width)
         total = 0
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text"):
                 ids, counts = tool.encode(part.column(1), end_id)
                 ends = np.cumsum(counts)
                 total += int(counts.sum())
