@@ -52,7 +52,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     covered = materialize(later.groupBy(F.col("row_key").alias("k")).agg(F.sort_array(F.collect_set("at")).alias("starts")), "covered-lines")
     discard(windows)
     discard(repeated)
-    joined = texts.join(covered, F.col("row_key") == F.col("k"), "left").select("id", "text", "starts")
+    joined = texts.join(covered.hint("merge"), F.col("row_key") == F.col("k"), "left").select("id", "text", "starts")
     schema = joined.select("id").schema.add("n_lines", "long").add("n_removed", "long")
     schema = schema.add("removed", T.ArrayType(T.StructType().add("first", "integer").add("n", "integer"))).add("kept_text", "string")
 
