@@ -130,6 +130,6 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "mix",
     )
     named = docs.withColumn("__row_key", row_key(id_col, text_col))
-    joined = named.join(plan, F.col("__row_key") == F.col("__key"))
+    joined = named.join(plan.hint("merge"), F.col("__row_key") == F.col("__key"))
     copies = F.ceil(F.col("__all") / F.col("__rows")).cast("int")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -119,7 +119,7 @@ def _window_rows(texts: DataFrame, alive: DataFrame | None, length: int, window:
     source = texts
     if alive is not None:
         runs = alive.select(F.col("row_key").alias("k"), "runs")
-        source = texts.join(runs, F.col("row_key") == F.col("k")).select("row_key", "text", "runs")
+        source = texts.join(runs.hint("merge"), F.col("row_key") == F.col("k")).select("row_key", "text", "runs")
     return materialize(source.mapInArrow(_rows_at(length, window, alive is not None), "h long, check int, row_key long, run long"), "windows")
 
 
@@ -136,7 +136,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     require(docs, id_col, text_col)
     found = repeated_starts(docs, id_col, text_col, window, first).select(F.col("row_key").alias("k"), "runs")
     texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(found, F.col("row_key") == F.col("k"), "left").select("id", "text", "runs")
+    joined = texts.join(found.hint("merge"), F.col("row_key") == F.col("k"), "left").select("id", "text", "runs")
     schema = joined.select("id").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

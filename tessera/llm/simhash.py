@@ -217,5 +217,5 @@ def keep_one_of_each(
     )
     kept = first.select(F.col("row.row_key").alias("__key"))
     named = docs.withColumn("__row_key", row_key(id_col, text_col))
-    rows = named.join(kept, F.col("__row_key") == F.col("__key"), "left_semi")
+    rows = named.join(kept.hint("merge"), F.col("__row_key") == F.col("__key"), "left_semi")
     return rows.dropDuplicates(["__row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
