@@ -85,7 +85,8 @@ def write_warc(
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([out.name]), pa.array([out.size], pa.int64())], ["path", "bytes"])
 
-    return materialize(dealt.mapInArrow(run, "path string, bytes long"), "warc-files")
+    # a row a file: dealt to a few tasks, so that the table isn't as many files as the archives
+    return materialize(dealt.mapInArrow(run, "path string, bytes long").repartition(1 + files // 10_000), "warc-files")
 
 
 def parse_record(data: bytes) -> dict:
@@ -171,12 +172,12 @@ def _inflate(f, head: bytes, at: int, chunk: int) -> tuple[bytes | None, int]:
 
 def read_warc(files: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
     """The records of the archives in `files` (path, bytes), page_id, record_type,
-    target_uri, payload, payload_bytes, payload_digest, refers_to, in tasks of
-    `range_bytes` of a file each. A response's digest is checked against its payload: a mismatch is an error.
+    target_uri, payload, payload_bytes, payload_digest, refers_to, in tasks of about
+    `range_bytes`: a range of a large file, or several small files. A response's digest is checked against its payload: a mismatch is an error.
     An archive of any size is shared out; ranges are dealt out evenly."""
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("end"))
-    n = max(1, ranges.count())
+    n = 1 + (files.agg(F.sum("bytes")).first()[0] or 0) // range_bytes
     schema = "page_id long, record_type string, target_uri string, payload binary, payload_bytes long, payload_digest string, refers_to long"
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
@@ -198,7 +199,7 @@ def read_warc(files: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
                             rows, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
 
-    return ranges.repartition(n if n < 4096 else 4096 + n // 64).mapInArrow(run, schema)
+    return ranges.repartition(n).mapInArrow(run, schema)
 
 
 def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
