@@ -235,16 +235,17 @@ def write_shards(
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], ["shard", "path", "n_docs", "n_tokens"])
 
-    return materialize(dealt.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "shards")
+    # a row a shard: dealt to a few tasks, so that the table isn't as many files as the shards
+    return materialize(dealt.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long").repartition(1 + n // 10_000), "shards")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
+def read_shards(shards: DataFrame, tokens_per_task: int = 16 << 20) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, shard, frame) of every document, from the files:
     `start` is the number of tokens before it, in all shards before its own (one sum over
     one row a shard) and in its own; the CRC is of the ids as little-endian 32-bit integers."""
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     placed = shards.withColumn("base", F.coalesce(before, F.lit(0)).cast("long")).where("n_docs > 0").select("shard", "path", "base")
-    n = max(1, shards.count())
+    n = 1 + (shards.agg(F.sum("n_tokens")).first()[0] or 0) // tokens_per_task
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, frame long"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -258,7 +259,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 shard.close()
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return placed.repartition(n, "shard").mapInArrow(run, schema)
+    return placed.repartition(n).mapInArrow(run, schema)
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
