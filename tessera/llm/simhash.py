@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, tables: int, bits: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 offsets, words = split_words(pc.ascii_lower(part.column(2)))
                 codes, distinct = word_codes(words)
                 digests = b"".join(xxhash.xxh3_128_digest(w.encode()) for w in distinct)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from tessera.llm.words import ragged_ranges, slices, split_words, word_codes
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, DESCRIPTOR = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 #: Distinct words whose ids a worker remembers between batches.
-REMEMBERED_WORDS = 700_000
+REMEMBERED_WORDS = 1_000_000
 
 
 class WordEncoder:
@@ -50,28 +50,50 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        # remembered words by 128 bits of hash, sorted by the first half, and where their ids are in `flat`:
+        # some tens of bytes a word, where a dict of strings would take hundreds
+        self.first, self.second = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.begins, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.int32)
 
     def check(self) -> bool:
         probe = ["It's  a", "Straße,\tÉté\n", "x1 2y z 　", " ", "", "don't 'LL <|x|> %%% é́"]
         whole = [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
         return whole == [[i for w in p.encode().split() for i in self.tokenizer.encode(w.decode(), add_special_tokens=False).ids] for p in probe]
 
-    def _learn(self, words: Sequence[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        base = len(self.ends) - 1
-        self.known.update(zip(new, range(base, base + len(new))))
-        flat, counts = [], []
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat.append(np.array([x for y in ids for x in y], dtype=np.int32))
-            counts.append(sizes)
-        if new:
-            self.flat = np.concatenate([self.flat, *flat])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
+    def _find(self, words: list[str]) -> np.ndarray:
+        """Where each word is among those remembered; words that aren't are encoded and remembered first."""
+        lanes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w.encode()) for w in words), dtype="<u8").reshape(-1, 2)
+        at = self._place(lanes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            _, once = np.unique(lanes[new, 0], return_index=True)
+            new = new[once]
+            flat, sizes = [self.flat], []
+            for i in range(0, len(new), 2000):
+                some = [words[k] for k in new[i : i + 2000]]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+                flat.append(np.array([x for y in ids for x in y], dtype=np.int32))
+            added = np.concatenate(sizes)
+            begins = len(self.flat) + np.cumsum(added) - added
+            order = np.argsort(np.concatenate([self.first, lanes[new, 0]]), kind="stable")
+            self.first = np.concatenate([self.first, lanes[new, 0]])[order]
+            self.second = np.concatenate([self.second, lanes[new, 1]])[order]
+            self.begins = np.concatenate([self.begins, begins])[order]
+            self.sizes = np.concatenate([self.sizes, added])[order]
+            self.flat = np.concatenate(flat)
+            at = self._place(lanes)
+        if (at < 0).any():
+            raise ValueError("two words have one 64-bit hash")
+        return at
+
+    def _place(self, lanes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.first, lanes[:, 0])
+        at[at == len(self.first)] = 0
+        if not len(self.first):
+            return np.full(len(lanes), -1, dtype=np.int64)
+        return np.where((self.first[at] == lanes[:, 0]) & (self.second[at] == lanes[:, 1]), at, -1)
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each): null texts count as empty; `end_id` ends each text."""
@@ -80,12 +102,11 @@ class WordEncoder:
         codes, distinct = word_codes(words)
         # A-Z are lower-cased by the tokenizer, too; only in its special tokens, which have "<|", case counts
         distinct = [w if "<|" in w else w.encode().lower().decode() for w in distinct]
-        if len(self.known) + len(distinct) > REMEMBERED_WORDS:
+        if len(self.first) + len(distinct) > REMEMBERED_WORDS:
             self.clear()
-        self._learn(list(dict.fromkeys(distinct)))
-        place = np.array([self.known[w] for w in distinct], dtype=np.int64)[codes] if distinct else np.zeros(0, dtype=np.int64)
-        sizes = (self.ends[1:] - self.ends[:-1])[place]
-        ids = self.flat[ragged_ranges(self.ends[:-1][place], sizes)]
+        place = self._find(distinct)[codes] if distinct else np.zeros(0, dtype=np.int64)
+        sizes = self.sizes[place]
+        ids = self.flat[ragged_ranges(self.begins[place], sizes)]
         counts = np.diff(np.concatenate(([0], np.cumsum(sizes)))[offsets])
         if end_id is not None:
             ids = np.insert(ids, np.cumsum(counts), end_id)
@@ -224,7 +245,7 @@ def write_shards(
         out = ShardWriter(f"{folder}/shard-{task.partitionId():06d}.tok.zst", str(task.taskAttemptId()), tool.width)
         total = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 ids, counts = tool.encode(part.column(1), end_id)
                 ends = np.cumsum(counts)
                 total += int(counts.sum())
