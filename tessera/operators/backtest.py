@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import ratio
+from tessera.functions.stages import stage
 from tessera.operators.crosssection import decile_weights
 from tessera.operators.grid import align_inner
 from tessera.operators.timeseries import add_terminal_missing, period_of
@@ -40,15 +41,18 @@ def long_short_backtest(
     if borrow_cost_annual < 0:
         raise ValueError("borrow_cost_rate_annual must be non-negative.")
     key = list(extra)
-    cells = align_inner(scores.select(*key, "asset_id", "date", "t", score), returns.select("asset_id", "date", "fwd_ret"))
-    gone = add_terminal_missing(returns.join(scores.select("date").distinct(), "date", "left_semi"), "fwd_ret").select("asset_id", "date", "fwd_ret", "terminal")
+    scores = stage(scores.select(*key, "asset_id", "date", "t", score), "backtest-scores")
+    known = add_terminal_missing(returns.select("asset_id", "date", "t", "fwd_ret").join(scores.select("date").distinct(), "date", "left_semi"), "fwd_ret")
+    gone = stage(known.select("asset_id", "date", "fwd_ret", "terminal"), "backtest-returns")
+    cells = align_inner(scores, gone.select("asset_id", "date", "fwd_ret"))
     dates = cells.select(*key, "date").distinct()
     by_key = Window.partitionBy(*key)
     dated = dates.withColumn("end", period_of("date", freq)).withColumn("is_rebalance", F.col("date") == F.max("date").over(Window.partitionBy(*key, "end")))
     along = by_key.orderBy("date")
     dated = dated.withColumn("start", F.last(F.when(F.col("is_rebalance"), F.col("date")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     dated = dated.withColumn("period", F.sum(F.col("is_rebalance").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))).select(*key, "date", "start", "period", "is_rebalance")
-    targets = decile_weights(cells.join(F.broadcast(dated.where("is_rebalance")), [*key, "date"], "left_semi"), score, *key)
+    dated = stage(dated, "backtest-dates")
+    targets = stage(decile_weights(cells.join(F.broadcast(dated.where("is_rebalance")), [*key, "date"], "left_semi"), score, *key), "backtest-targets")
     held = (
         targets.select(*key, "asset_id", F.col("date").alias("start"), "book", F.col("weight").alias("target"))
         .join(F.broadcast(dated), [*key, "start"])
@@ -60,8 +64,9 @@ def long_short_backtest(
     book = Window.partitionBy(*key, "date", "book")
     weighted = grown.withColumn("weight", F.coalesce(ratio(F.col("grown"), F.sum("grown").over(book)), F.lit(0.0)))
     after = weighted.withColumn("ended", F.col("grown") * (1 + F.col("r"))).withColumn("drifted", F.coalesce(ratio(F.col("ended"), F.sum("ended").over(book)), F.lit(0.0)))
+    after = stage(after.select(*key, "asset_id", "date", "period", "book", "r", "weight", "drifted"), "backtest-weights")
     sign = F.when(F.col("book") == "long", 1.0).otherwise(-1.0)
-    gross = weighted.groupBy(*key, "date").agg(
+    gross = after.groupBy(*key, "date").agg(
         F.sum(sign * F.col("weight") * F.col("r")).alias("gross"), F.sum(F.when(F.col("book") == "short", F.col("weight")).otherwise(0.0)).alias("short_weight")
     )
     last_day = dated.groupBy(*key, "period").agg(F.max("date").alias("date"))
@@ -78,6 +83,7 @@ def long_short_backtest(
         .withColumn("borrow_cost", borrow_cost_annual / 252.0 * F.coalesce("short_weight", F.lit(0.0)))
         .withColumn("ret", F.coalesce("gross", F.lit(0.0)) - F.col("turnover_cost") - F.col("borrow_cost"))
     )
+    daily = stage(daily.select(*key, "date", "ret", "turnover", "turnover_cost", "borrow_cost"), "backtest-days")
     curve = daily.select(*key, "date", "ret", F.product(1 + F.col("ret")).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("equity"))
     summary = daily.groupBy(*key).agg(
         F.avg("turnover").alias("turnover_mean"), (F.avg("turnover_cost") * 252.0).alias("turnover_cost_drag_ann"), (F.avg("borrow_cost") * 252.0).alias("borrow_cost_drag_ann")

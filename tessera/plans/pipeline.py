@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.stages import stage
 from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, qc, ridge, timeseries, universe
 from tessera.operators.grid import align_factors_left
 from tessera.plans.settings import Settings, check
@@ -71,10 +72,11 @@ def scored_panel(clean: DataFrame, inputs: Inputs, settings: Settings, signal_ro
     alive = clean.select("asset_id").distinct()
     if signal_rows is None:
         signal_rows = signals.signals(inputs.rows.join(alive, "asset_id", "left_semi"), inputs.statements)
-    funded = factors.fundamental_factors(factors.daily_signals(signal_rows, with_ret, settings.lookbacks.signal_fill), settings.fundamental_factors)
-    made = priced.select("asset_id", "date", "t", *settings.price_factors).join(funded.drop("t"), ["asset_id", "date"])
+    daily = stage(factors.daily_signals(signal_rows, with_ret, settings.lookbacks.signal_fill), "signals")
+    funded = stage(factors.fundamental_factors(daily, settings.fundamental_factors), "fundamental-factors")
+    made = stage(priced.select("asset_id", "date", "t", *settings.price_factors), "price-factors").join(funded.drop("t"), ["asset_id", "date"])
     panel = align_factors_left(made, returns.select("asset_id", "date", "t", "price", "dollar_volume", "quality_ok", "ret", "fwd_ret"))
-    panel = crosssection.winsorize(panel, names)
+    panel = crosssection.winsorize(stage(panel, "factors"), names)
     if settings.neutralization_mode == "sector":
         if inputs.sectors is None:
             raise ValueError("sector neutralization needs sectors")
@@ -97,23 +99,24 @@ def market_return(asset_id: int | None):
 
 
 def run_core(inputs: Inputs, settings: Settings, signal_rows: DataFrame | None = None, grid: DataFrame | None = None) -> Core:
-    """Clean, score and mask. The clean panel and the scored panel are kept, since several results read them."""
+    """Clean, score and mask. The clean panel, the factors and the scored panel are written, since several results read them."""
     check(settings)
     grid = market.price_panel(inputs.rows) if grid is None else grid
     clean = cleaning.clean_panel(
         grid, settings.cleaning, settings.min_assets_per_date, settings.quality_lookback, settings.quality_max_hard_events, settings.quality_min_coverage
     )
-    clean.prices = clean.prices.persist()
-    panel = scored_panel(clean.prices, inputs, settings, signal_rows).persist()
+    clean.prices, clean.raw, clean.summary = stage(clean.prices, "clean"), stage(clean.raw, "raw"), stage(clean.summary, "clean-summary")
+    panel = stage(scored_panel(clean.prices, inputs, settings, signal_rows), "scored")
     score = settings.output_factor
     if score == "ridge":
         found = ridge.ridge_scores(panel, panel, panel, settings.rebalance_freq, settings.factors, settings.ridge_alpha, settings.ridge)
-        panel = panel.join(found.select("asset_id", "date", F.col("score").alias("ridge")), ["asset_id", "date"], "left")
+        panel = stage(panel.join(found.select("asset_id", "date", F.col("score").alias("ridge")), ["asset_id", "date"], "left"), "with-ridge")
     elif score not in (*settings.factors, "composite"):
         raise ValueError(f"unknown output_factor {score!r}")
     panel = panel.withColumn("score", F.col(score)).withColumn("required_ok", F.col("score").isNotNull())
     cells = universe.universe(panel, settings.universe_max_assets, settings.adv_lookback, settings.min_prev_close)
-    masked = universe.tradable(cells, "score", [*settings.factors, "composite"])
+    cells = stage(cells, "universe")
+    masked = stage(universe.tradable(cells, "score", [*settings.factors, "composite"]), "tradable")
     tradable_prices = masked.withColumn("price", F.when(F.col("tradable"), F.col("price")))
     price_qc = qc.price_summary(clean.raw, "raw_daily").unionByName(qc.price_summary(tradable_prices, "tradable_daily"))
     return Core(
@@ -125,7 +128,7 @@ def run_core(inputs: Inputs, settings: Settings, signal_rows: DataFrame | None =
 def evaluate(core: Core, settings: Settings) -> Run:
     panel = core.panel
     pairs = evaluation.ic_inputs(panel, panel.select("asset_id", "date", "t", "fwd_ret"), settings.rebalance_freq, panel.select("asset_id", "date", "t", "price"))
-    ic = evaluation.ic_series(pairs, settings.ic_min_assets)
+    ic = stage(evaluation.ic_series(pairs, settings.ic_min_assets), "ic")
     base = panel.select("asset_id", "date", F.col("in_universe").alias("base"))
     result = backtest.long_short_backtest(
         panel, panel.select("asset_id", "date", "t", "fwd_ret"), settings.rebalance_freq, settings.turnover_cost_rate, settings.borrow_cost_rate_annual

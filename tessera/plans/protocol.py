@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.stages import stage
 from tessera.operators import backtest, evaluation
 from tessera.operators.crosssection import candidate_composite
 from tessera.operators.grid import slice_dates
@@ -34,11 +35,11 @@ def train_factor_report(panel: DataFrame, factors: Sequence[str], start: str, en
     Newey-West t, its number and its means over the two halves. All factors go through one job."""
     if not factors:
         raise ValueError("factor_panels cannot be empty.")
-    window = slice_dates(panel, start, end)
+    window = stage(slice_dates(panel, start, end).select("asset_id", "date", "t", "price", "fwd_ret", *factors), "train-window")
     first_end, second_start = half_years(start, end)
     long = melt_factors(window.select("asset_id", "date", "t", *factors), factors).withColumnRenamed("value", "score")
     pairs = evaluation.ic_inputs(long, window.select("asset_id", "date", "t", "fwd_ret"), freq, window.select("asset_id", "date", "t", "price"), "score", "factor")
-    ic = evaluation.ic_series(pairs, ic_min_assets, "score", "fwd_ret", "factor")
+    ic = stage(evaluation.ic_series(pairs, ic_min_assets, "score", "fwd_ret", "factor"), "train-ic")
     stats = evaluation.ic_stats(ic, None, "factor")
     early = F.col("date") <= F.lit(first_end).cast("date")
     late = F.col("date") >= F.lit(second_start).cast("date")
@@ -76,7 +77,7 @@ def window_metrics(
     if not with_ic:
         return out
     pairs = evaluation.ic_inputs(scores, returns, freq, panel.select("asset_id", "date", "t", "price"), "score", *extra)
-    stats = evaluation.ic_stats(evaluation.ic_series(pairs, ic_min_assets, "score", "fwd_ret", *extra), None, *extra)
+    stats = evaluation.ic_stats(stage(evaluation.ic_series(pairs, ic_min_assets, "score", "fwd_ret", *extra), "window-ic"), None, *extra)
     stats = stats.select(*extra, "mean_ic", F.col("t_newey_west").alias("t_ic_newey_west"), F.col("n_obs").alias("ic_n_obs"))
     return out.join(stats, list(extra), "left") if extra else out.crossJoin(stats)
 
@@ -86,7 +87,7 @@ def validation_matrix(
 ) -> DataFrame:
     """A row a construct (a name and the panel's column with its score), best first: net and gross
     metrics over the window. All constructs go through one job, keyed by name."""
-    window = slice_dates(panel, start, end)
+    window = stage(slice_dates(panel, start, end).select("asset_id", "date", "t", "price", "fwd_ret", *dict.fromkeys(constructs.values())), "validation-window")
     renamed = window.select("asset_id", "date", "t", *[F.col(c).alias(n) for n, c in constructs.items()])
     scores = melt_factors(renamed, list(constructs)).select("asset_id", "date", "t", F.col("factor").alias("construct"), F.col("value").alias("score"))
     key = ("construct",)
