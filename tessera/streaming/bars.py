@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 def bars(ticks: DataFrame, width: str = "1 day", lateness: str = "1 hour", key: str = "asset_id", time: str = "ts", price: str = "price", size: str = "size") -> DataFrame:
     """(key, start, vwap, volume, n): tumbling bars of a batch or a stream. In a stream a bar is
     final once the watermark has passed its end, and later rows are dropped."""
+    ticks = ticks.withColumn(time, F.col(time).cast("timestamp"))  # a watermark needs a timestamp with a time zone
     rows = ticks.withWatermark(time, lateness) if ticks.isStreaming else ticks
     value = F.sum(F.col(price) * F.col(size))
     volume = F.sum(size)
