@@ -293,6 +293,28 @@ def test_near_copies_leave_one(sp):
     assert simhash.keep_one_of_each(empty(sp)).count() == 0
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def edited(r, base, low, high):
+    """`base` with words exchanged until its five-word similarity is in [low, high)."""
+    while True:
+        own = list(base)
+        while jaccard(base, own) >= high:
+            own[r.randrange(len(own))] = f"new{r.randrange(10**9)}"
+        if jaccard(base, own) >= low:
+            return own
+
+
+def test_near_copies_just_above_the_threshold(sp):
+    r = random.Random(7)
+    pairs = [(b, edited(r, b, 0.8, 0.83)) for b in ([f"k{r.randrange(3000)}" for _ in range(r.randrange(100, 500))] for _ in range(300))]
+    out = simhash.keep_one_of_each(frame(sp, [" ".join(t) for p in pairs for t in p]))
+    assert {x["doc_id"] for x in out.collect()} == set(range(0, 600, 2))
+
+
 # 5 language
 
 
