@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from tessera.llm.components import connected_components
 from tessera.llm.shared import discard, materialize, require, row_key
 from tessera.llm.words import join_hashes, slices, split_words, window_hashes, word_hashes
 
+_log = logging.getLogger(__name__)
+
 #: Shingles whose bits are counted at once; a longer text is counted in parts.
 _PART = 1 << 14
 
@@ -266,7 +269,8 @@ def keep_one_of_each(
     id (nulls last), of those the smallest row key, of rows equal in id and text any one.
 
     Two texts are near copies if the Jaccard similarity of their sets of `words`-word shingles
-    (A-Z lower-cased) is `threshold` or more, which is decided by the shingles themselves; groups
+    (A-Z lower-cased) is `threshold` or more, which is decided by the shingles themselves (how many
+    candidates that rejects is logged); groups
     are the components of these pairs. Candidates are the pairs that share one of `bands` x `rows` MinHashes:
     by these numbers a pair at 0.8 is missed with a probability of (1 - 0.8**5)**24 = 0.00007.
     Texts without words are one group. Columns stay as they are, whatever their names.
@@ -280,7 +284,10 @@ def keep_one_of_each(
         "kinds",
     )
     compared = near_copies(docs, kinds.select("sid", "n", "bands", F.col("row.row_key").alias("row_key")), id_col, text_col, threshold, words)
-    groups = materialize(connected_components(compared.where(F.col("similarity") >= threshold - 1e-9)), "components")
+    links = compared.where(F.col("similarity") >= threshold - 1e-9)
+    total = compared.count()
+    _log.info("%d of %d candidate links rejected: similarity below %s", total - links.count(), total, threshold)
+    groups = materialize(connected_components(links), "components")
     members = kinds.select("sid", "row").join(groups.hint("merge"), F.col("sid") == F.col("node"), "left")
     first = members.groupBy(F.coalesce("component", "sid").alias("group")).agg(F.min("row").alias("row"))
     kept = first.select(F.col("row.row_key").alias("__key"))

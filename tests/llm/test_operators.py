@@ -315,6 +315,30 @@ def test_near_copies_just_above_the_threshold(sp):
     assert {x["doc_id"] for x in out.collect()} == set(range(0, 600, 2))
 
 
+def test_near_copies_are_those_of_brute_force(sp):
+    r = random.Random(8)
+    texts = []
+    for g in range(12):
+        base = [f"k{r.randrange(3000)}" for _ in range(r.randrange(60, 300))]
+        texts += [base, edited(r, base, 0.8, 0.83), edited(r, base, 0.77, 0.8), edited(r, base, 0.6, 0.8)]
+        texts.append(edited(r, texts[-3], 0.8, 0.85))  # reaches the base over a chain only
+    few = [f"v{i}" for i in range(30)] * 4
+    texts += [r.sample(few, len(few)) for _ in range(20)]  # the same words in another order
+    hot = [f"h{r.randrange(3000)}" for _ in range(150)]
+    texts += [edited(r, hot, low, low + 0.1) for low in (0.5, 0.6, 0.7, 0.8, 0.85) for _ in range(40)]
+    texts += [["A", "b"], ["a", "B"], ["a", "b", "c"], ["a", "b", "c", "d", "e"], ["a"]]
+    r.shuffle(texts)
+    sets = [{tuple(w.lower() for w in t[i : i + min(5, len(t))]) for i in range(max(1, len(t) - 4))} for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    out = simhash.keep_one_of_each(frame(sp, [" ".join(t) for t in texts])).collect()
+    assert {x["doc_id"] for x in out} == set(group) and len(out) == len(set(group))
+
+
 # 5 language
 
 
