@@ -63,21 +63,58 @@ def _node(url: Column) -> Column:
     return F.when(F.instr(bare, "://") > 0, F.concat(scheme, host_of(bare), F.regexp_extract(bare, r"(?s)^.*?://[^/?#]*(.*)$", 1)))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved; it starts with / and can't leave the root."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    closed = F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), closed)
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """`target` as a URL with ://, seen from the URL `base`: absolute, //host/path, /path, path, ?query or
+    #fragment. Null for an empty target, for one of another scheme (mailto:) and for a relative one if the base has no ://."""
+    bare = F.regexp_replace(base, r"(?s)#.*$", "")
+    origin = F.regexp_extract(bare, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_replace(path_of(bare), r"(?s)^/|[^/]*$", ""))
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (origin == ""), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(origin, r"(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("#"), bare)
+        .when(target.startswith("?"), F.concat(origin, path_of(bare), target))
+        .when(target.startswith("/"), F.concat(origin, _without_dots(path), rest))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): from each page's URL to its canonical link and its meta refresh
-    target, where they are absolute. Null html has none."""
+    """(src, dst): from each page's URL to the targets of all its canonical links and meta
+    refreshes, seen from its <base href> or else its URL, with &amp; decoded. Null html has none."""
     tag = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-    href = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+    href = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
     refresh = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-    target = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+    target = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+    base = r"(?is)<base\b[^>]*\bhref\s*=[^>]*>"
+    decoded = lambda c: F.regexp_replace(c, r"(?i)&(?:amp|#38|#x26);", "&")
     found = pages.select(
-        _node(F.col(url_col)).alias("src"),
-        F.array(
-            F.regexp_extract(F.regexp_extract(html_col, tag, 0), href, 1),
-            F.regexp_extract(F.regexp_extract(html_col, refresh, 0), target, 1),
+        F.col(url_col).alias("page"),
+        decoded(F.regexp_extract(F.regexp_extract(html_col, base, 0), href, 1)).alias("base"),
+        F.concat(
+            F.transform(F.regexp_extract_all(html_col, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, href, 1)),
+            F.transform(F.regexp_extract_all(html_col, F.lit(refresh), F.lit(0)), lambda x: F.regexp_extract(x, target, 1)),
         ).alias("to"),
     )
-    return found.select("src", F.explode("to").alias("to")).select("src", _node(F.col("to")).alias("dst")).where("src <> dst")
+    seen = found.select("page", F.coalesce(resolve(F.col("base"), F.col("page")), F.col("page")).alias("base"), F.explode("to").alias("to"))
+    edges = seen.select(_node(F.col("page")).alias("src"), _node(resolve(decoded(F.col("to")), F.col("base"))).alias("dst"))
+    return edges.where("src <> dst")
 
 
 def _compiled(rules: Sequence[UrlRule]) -> Column:

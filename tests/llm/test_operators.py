@@ -531,6 +531,23 @@ def test_decisions_reach_aliases(sp):
     assert urls.filter_urls(pages(sp, rows).limit(0)).count() == 0
 
 
+def test_alias_targets_are_resolved(sp):
+    links = {
+        "/new?a=1&amp;b=2": "http://x.org/new?a=1&b=2", "c.html": "http://x.org/p/q/c.html", "../c/./d/..": "http://x.org/p/c/", "//Other.net/x": "http://other.net/x",
+        "?k=v#f": "http://x.org/p/q/a?k=v", "https://y.org/z": "https://y.org/z", "/../r?u=http://n.org/": "http://x.org/r?u=http://n.org/", "..": "http://x.org/p/", "mailto:a@b": None, "#top": None,
+    }
+    page = "http://X.org/p/q/a?old#f"
+    tags = [f'<link rel="canonical" href="{t}">' for t in links] + ['<meta http-equiv=refresh content="0; url=/again">', "<META HTTP-EQUIV='refresh' CONTENT='1;URL=more'>"]
+    rows = [(1, page, "".join(tags)), (2, "http://b.org/1", '<base href="/deep/er/"><link rel=canonical href=x>'), (3, "no scheme", '<link rel=canonical href="/x">'), (4, "http://h.org", '<link rel=canonical href="x">'), (5, None, None)]
+    # the bare #top of a page names the page without its fragment, which isn't an edge
+    got = urls.alias_edges(sp.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {("http://x.org/p/q/a?old", u) for u in links.values() if u} | {("http://x.org/p/q/a?old", f"http://x.org/{u}") for u in ("again", "p/q/more")}
+    assert {tuple(r) for r in got} == want | {("http://b.org/1", "http://b.org/deep/er/x"), ("http://h.org", "http://h.org/x")}
+    pages = [(1, "http://ads.com/en/1", None), (2, "http://ok.org/a", '<link rel="canonical" href="//ads.com/en/1">')]
+    out = urls.filter_urls(sp.createDataFrame(pages, "page_id long, url string, html string"), ["block com/en/"]).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {1: "block", 2: "block"}
+
+
 # 10 substrings
 
 
