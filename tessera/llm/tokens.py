@@ -57,9 +57,16 @@ class WordEncoder:
         self.flat = np.zeros(0, dtype=np.int32)
 
     def check(self) -> bool:
-        probe = ["It's  a", "Straße,\tÉté\n", "x1 2y z 　", " ", "", "don't 'LL <|x|> %%% é́"]
+        """Whether encode() gives the ids of whole texts, on probes of white space, letters of either case and punctuation."""
+        probe = [
+            "It's  a", "Straße,\tÉté\n", "x1 2y z 　", " ", "", "don't 'LL <|x|> %%% é́", "The END. Of It! MiXeD (Case), NASA: one; two... Why?!",
+            "".join(map(chr, range(65, 91))), *[f"{w}{c} {w}" for w in ("a", "Word", "é") for c in ".,!?*$%&#;:"],
+        ]
         whole = [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
-        return whole == [[i for w in p.encode().split() for i in self.tokenizer.encode(w.decode(), add_special_tokens=False).ids] for p in probe]
+        ids, counts = self.encode(pa.array(probe), None)
+        self.clear()
+        ends = np.cumsum(counts)
+        return whole == [ids[e - n : e].tolist() for e, n in zip(ends, counts)]
 
     def _find(self, words: list[str]) -> np.ndarray:
         """Where each word is among those remembered; words that aren't are encoded and remembered first."""

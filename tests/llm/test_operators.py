@@ -417,6 +417,22 @@ def test_seek_table_is_the_public_format(sp, tmp_path):
     assert data[-4:] == (0x8F92EAB1).to_bytes(4, "little")
 
 
+def test_tokenizers_that_keep_case_or_join_punctuation_are_run_on_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, trainers
+
+    letters = [chr(i) for i in range(33, 127)]
+    cases = {"case": (None, pre_tokenizers.Whitespace()), "joined": (normalizers.Lowercase(), pre_tokenizers.WhitespaceSplit())}
+    for name, (normalizer, split) in cases.items():
+        tool = Tokenizer(models.BPE(unk_token="?"))
+        if normalizer:
+            tool.normalizer = normalizer
+        tool.pre_tokenizer = split
+        tool.train_from_iterator(["word. word. end. the end."] * 9, trainers.BpeTrainer(vocab_size=200, initial_alphabet=letters, special_tokens=["?"]))
+        tool.save(f"{tmp_path}/{name}.json")
+        assert not tokens.WordEncoder(f"{tmp_path}/{name}.json").check()
+    assert tokens.WordEncoder(tokenizer_path()).check()
+
+
 # 7 WARC
 
 
