@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 def _star(directed: DataFrame, larger: bool) -> DataFrame:
     """One step, as a written table. larger: over all neighbours, move the larger ones; otherwise over
     the smaller neighbours and the node itself (edges already point to the smaller)."""
-    least = materialize(directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    least = directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     joined = directed.join(least.withColumnRenamed("u", "c"), F.col("u") == F.col("c"))
     if larger:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -51,6 +51,4 @@ def _star(directed: DataFrame, larger: bool) -> DataFrame:
         moved = joined.select("u", F.col("m").alias("v")).unionByName(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-    out = materialize(moved.where("u <> v").distinct(), "star")
-    discard(least)
-    return out
+    return materialize(moved.where("u <> v").distinct(), "star")

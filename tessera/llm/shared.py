@@ -57,8 +57,19 @@ def discard(df: DataFrame | None) -> None:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """A 64-bit key of a row's id and text; rows equal in both have one key."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """A key of 128 bits of hash of a row's id and text; rows equal in both have one key."""
+    halves = [F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))]
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
+
+
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, row): every row's key and its columns as one struct, in which no name can clash with others'."""
+    return docs.select(row_key(id_col, text_col).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def require(df: DataFrame, *names: str) -> None:

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import discard, materialize, require, row_key
-from tessera.llm.words import join_hashes, slices, split_words, window_hashes, word_hashes
-
-_log = logging.getLogger(__name__)
+from tessera.llm.shared import discard, materialize, partitions, require
 
 #: Shingles whose bits are counted at once; a longer text is counted in parts.
 _PART = 1 << 14
@@ -82,8 +76,9 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
         return prints.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).where("src <> dst")
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
     variants = F.concat(F.array(F.col("fp")), F.transform(flips, lambda bit: F.col("fp").bitwiseXOR(bit)))
+    # dealt out first: a small table of fingerprints comes in few partitions and becomes 65 times as many rows
     buckets = (
-        prints.select("fp", F.explode(variants).alias("variant"))
+        prints.repartition(partitions(prints.sparkSession)).select("fp", F.explode(variants).alias("variant"))
         .groupBy("variant")
         .agg(F.collect_list("fp").alias("fps"))
         .where(F.size("fps") > 1)
@@ -117,180 +112,3 @@ def simhash_components(
     return joined.select(
         id_col, "fp", F.when(F.col("labelled"), F.col("component_id")).otherwise(F.col(id_col)).alias("component_id")
     )
-
-
-def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its shingles of `words` words, A-Z
-    lower-cased. A text of fewer words is one shingle, a text without words has none."""
-    offsets, found = split_words(pc.ascii_lower(texts))
-    hashes = word_hashes(found)[0]
-    whole = window_hashes(hashes, words)
-    out = []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        out.append(np.unique(whole[a : b - words + 1] if b - a >= words else window_hashes(hashes[a:b], b - a) if b > a else hashes[:0]))
-    return out
-
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(row_key, id, sid, n, bands): for each row a hash of its set of shingles, the set's size, and
-    `bands` hashes of `rows` MinHashes each; a text without words has no bands."""
-    schema = docs.select(F.lit(0).cast("long").alias("row_key"), F.col(id_col).alias("id")).schema
-    schema = schema.add("sid", "long").add("n", "integer").add("bands", T.ArrayType(T.LongType()))
-    seeds = np.random.default_rng(42).integers(0, 1 << 63, size=(2, bands * rows, 1), dtype=np.uint64)
-    odd = seeds[0] * np.uint64(2) + np.uint64(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                sets = shingle_sets(part.column(2), words)
-                least = np.full((part.num_rows, bands * rows), np.iinfo(np.uint64).max, dtype=np.uint64)
-                for own, row in zip(sets, least):
-                    for j in range(0, len(own), 1 << 10):
-                        np.minimum(row, ((own[j : j + (1 << 10)] ^ seeds[1]) * odd).min(axis=1), out=row)
-                least = least.reshape(part.num_rows, bands, rows)
-                hashes = np.broadcast_to(np.arange(bands, dtype=np.uint64), (part.num_rows, bands))
-                for k in range(rows):
-                    hashes = join_hashes(hashes, least[:, :, k])
-                sizes = np.array([len(s) for s in sets], dtype=np.int32)
-                some = sizes > 0
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)), pa.array(hashes[some].view(np.int64).ravel())
-                )
-                sids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sids), pa.array(sizes), lists], schema.names)
-
-    keyed = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return keyed.mapInArrow(run, schema)
-
-
-def _compare(key: tuple, table: pa.Table) -> pa.Table:
-    """(src, dst, similarity) of the pairs of one pair of blocks, from rows (sid, peers, shingles)."""
-    sids = table.column("sid").to_pylist()
-    lists = table.column("shingles").combine_chunks()
-    flat, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
-    ends = ends - ends[0]
-    sets = {s: flat[a:b] for s, a, b in zip(sids, ends[:-1], ends[1:])}
-    src, dst, similarity = [], [], []
-    for sid, peers in zip(sids, table.column("peers").to_pylist()):
-        own = sets[sid]
-        for peer in peers or ():
-            other = sets[peer]
-            a, b = (own, other) if len(own) >= len(other) else (other, own)
-            both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-            src.append(sid), dst.append(peer), similarity.append(both / (len(a) + len(b) - both))
-    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
-
-
-def similarities(pairs: DataFrame, places: DataFrame, shingles: DataFrame, block: int = 128) -> DataFrame:
-    """(src, dst, similarity): the exact Jaccard similarity of the shingles (sid, shingles) of every
-    pair (src, dst).
-
-    `places` (sid, cluster, size) deals the sets of a cluster to blocks of about `block`. Pairs
-    are compared by pairs of blocks, and each gets a set once for all pairs it is in there,
-    so a dense cluster's sets are sent once for some hundred pairs, a lone pair's for that pair.
-    """
-    spot = places.select(
-        F.col("sid").alias("ps"), F.xxhash64("cluster", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / block))).alias("block")
-    )
-    near = pairs.join(spot.hint("merge"), F.col("src") == F.col("ps")).select("src", "dst", F.col("block").alias("a"))
-    near = near.join(spot.hint("merge"), F.col("dst") == F.col("ps")).select("src", "dst", F.xxhash64(F.least("a", "block"), F.greatest("a", "block")).alias("pair"))
-    near = materialize(near, "block-pairs")
-    asked = near.groupBy("pair", F.col("src").alias("sid")).agg(F.collect_list("dst").alias("peers"))
-    others = near.select("pair", F.col("dst").alias("sid"), F.lit(None).cast("array<long>").alias("peers")).distinct()
-    rows = asked.unionByName(others).groupBy("pair", "sid").agg(F.flatten(F.collect_list("peers")).alias("peers"))
-    sent = rows.join(shingles.select(F.col("sid").alias("ss"), "shingles").hint("merge"), F.col("sid") == F.col("ss")).select("pair", "sid", "peers", "shingles")
-    return sent.groupBy("pair").applyInArrow(_compare, "src long, dst long, similarity double")
-
-
-def near_copies(
-    docs: DataFrame, kinds: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5
-) -> DataFrame:
-    """(src, dst, similarity): all candidate pairs over the distinct sets of shingles `kinds`
-    (sid, n, bands, row_key) that were compared, those below `threshold` too.
-    Those of `threshold` and more connect whatever is connected by candidates of that similarity.
-
-    Candidates share a band and have sizes that allow the threshold. First each set is compared with its
-    bands' smallest. What this links needs no more comparing; then, in bands that still hold
-    several components, all pairs across components are compared, without a limit: a group costs its pairs
-    of texts that are alike but not near copies of each other.
-    """
-    rows = kinds.select("sid", "n", F.explode("bands").alias("band"))
-    cells = rows.groupBy("band").agg(F.min(F.struct("sid", "n")).alias("low"), F.count("*").alias("members")).where("members > 1")
-    cells = cells.select(F.col("band").alias("b"), F.col("low.sid").alias("low"), F.col("low.n").alias("low_n"))
-    shared = materialize(rows.join(cells.hint("merge"), F.col("band") == F.col("b")).drop("b"), "shared-bands")
-    stars = shared.where("sid <> low").select(F.col("low").alias("src"), F.col("sid").alias("dst"), F.col("low_n").alias("x"), F.col("n").alias("y"))
-    stars = materialize(stars.distinct(), "stars")
-    clusters = materialize(connected_components(stars), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    places = materialize(
-        clusters.join(sizes.withColumnRenamed("component", "c").hint("merge"), F.col("component") == F.col("c")).select(F.col("node").alias("sid"), F.col("component").alias("cluster"), "size"), "places"
-    )
-    first = kinds.select("sid", "row_key").join(places.select(F.col("sid").alias("ps")).hint("merge"), F.col("sid") == F.col("ps")).select("sid", F.col("row_key").alias("k"))
-    texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    wanted = texts.join(first.hint("merge"), F.col("row_key") == F.col("k")).select("sid", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                sets = shingle_sets(part.column(1), words)
-                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["sid", "shingles"])
-
-    shingles = materialize(wanted.mapInArrow(run, "sid long, shingles array<long>"), "shingles")
-    shingles = materialize(shingles.dropDuplicates(["sid"]), "shingle-sets")
-    fits = F.least("x", "y") >= F.greatest("x", "y") * threshold - 1e-9
-    compared = materialize(similarities(stars.where(fits).select("src", "dst"), places, shingles), "compared")
-    linked = materialize(connected_components(compared.where(F.col("similarity") >= threshold - 1e-9)), "linked")
-    labels = linked.select(F.col("node"), "component").hint("merge")
-    labelled = materialize(
-        shared.join(labels, F.col("sid") == F.col("node"), "left").select("band", "sid", "n", F.coalesce("component", "sid").alias("comp")), "labelled"
-    )
-    parts = labelled.groupBy("band", "comp").agg(F.lit(1).alias("one")).select("band", "comp")
-    others = parts.select(F.col("band").alias("ob"), F.col("comp").alias("oc"))
-    meet = materialize(parts.join(others.hint("merge"), (F.col("band") == F.col("ob")) & (F.col("comp") < F.col("oc"))).drop("ob"), "meeting-components")
-    left = labelled.select(F.col("band").alias("lb"), F.col("comp").alias("lc"), F.col("sid").alias("src"), F.col("n").alias("x"))
-    right = labelled.select(F.col("band").alias("rb"), F.col("comp").alias("rc"), F.col("sid").alias("dst"), F.col("n").alias("y"))
-    across = (
-        meet.join(left.hint("merge"), (F.col("band") == F.col("lb")) & (F.col("comp") == F.col("lc")))
-        .join(right.hint("merge"), (F.col("band") == F.col("rb")) & (F.col("oc") == F.col("rc")))
-        .where(fits).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    )
-    known = compared.select(F.col("src").alias("ks"), F.col("dst").alias("kd"))
-    across = across.join(known.hint("merge"), (F.col("src") == F.col("ks")) & (F.col("dst") == F.col("kd")), "left_anti")
-    rest = materialize(similarities(materialize(across, "across"), places, shingles), "compared-across")
-    return compared.unionByName(rest)
-
-
-def keep_one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, bands: int = 24, rows: int = 5
-) -> DataFrame:
-    """The rows of `docs`, one of each group of near copies: the one with the smallest
-    id (nulls last), of those the smallest row key, of rows equal in id and text any one.
-
-    Two texts are near copies if the Jaccard similarity of their sets of `words`-word shingles
-    (A-Z lower-cased) is `threshold` or more, which is decided by the shingles themselves (how many
-    candidates that rejects is logged); groups
-    are the components of these pairs. Candidates are the pairs that share one of `bands` x `rows` MinHashes:
-    by these numbers a pair at 0.8 is missed with a probability of (1 - 0.8**5)**24 = 0.00007.
-    Texts without words are one group. Columns stay as they are, whatever their names.
-    """
-    require(docs, id_col, text_col)
-    prints = materialize(sketches(docs, id_col, text_col, words, bands, rows), "sketches")
-    kinds = materialize(
-        prints.groupBy("sid").agg(
-            F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("row")
-        ),
-        "kinds",
-    )
-    compared = near_copies(docs, kinds.select("sid", "n", "bands", F.col("row.row_key").alias("row_key")), id_col, text_col, threshold, words)
-    links = compared.where(F.col("similarity") >= threshold - 1e-9)
-    total = compared.count()
-    _log.info("%d of %d candidate links rejected: similarity below %s", total - links.count(), total, threshold)
-    groups = materialize(connected_components(links), "components")
-    members = kinds.select("sid", "row").join(groups.hint("merge"), F.col("sid") == F.col("node"), "left")
-    first = members.groupBy(F.coalesce("component", "sid").alias("group")).agg(F.min("row").alias("row"))
-    kept = first.select(F.col("row.row_key").alias("__key"))
-    named = docs.withColumn("__row_key", row_key(id_col, text_col))
-    found = named.join(kept.hint("merge"), F.col("__row_key") == F.col("__key"), "left_semi")
-    return found.dropDuplicates(["__row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -105,3 +105,28 @@ def ragged_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     begins = np.cumsum(lengths) - lengths
     return np.arange(total, dtype=np.int64) + np.repeat(starts - begins, lengths)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows that are equal in the first `keys` columns, each as one table, from
+    batches sorted by them. A run may go on in the next batches; one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(max(n - 1, 0), dtype=bool)
+        for k in range(keys):
+            column = batch.column(k)
+            new |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        ends = [*(np.flatnonzero(new) + 1).tolist(), n]
+        begin = 0
+        if held and any(held[-1].column(k)[0] != batch.column(k)[0] for k in range(keys)):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for end in ends[:-1]:
+            yield pa.Table.from_batches([*held, batch.slice(begin, end - begin)]).combine_chunks()
+            held, begin = [], end
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
