@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, mixing, quality, simhash, tokens
+from tessera.llm import decontaminate, mixing, near_copies, quality, tokens
 from tessera.llm.queries import table, tokenizer_path
 from tessera.llm.shared import materialize, ship
 
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies stays."""
     ship(spark)
-    return simhash.keep_one_of_each(docs)
+    return near_copies.keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
