@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize, require, row_key
+from tessera.llm.shared import keyed_rows, materialize, require, row_key
 
 #: Exponents tried in one job: five halvings of the interval at once.
 _STEPS = 32
@@ -70,22 +70,12 @@ def weights(
     return shares.select("source", "total", weight.alias("weight"), F.round(weight * F.lit(float(budget))).cast("long").alias("budget")), alpha
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy_share: float | None = 0.99,
-    max_repeats: float | None = 4.0, budget_tokens: int | None = None, seed: int = 0,
+def _passes(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, target_entropy_share: float | None, max_repeats: float | None,
+    budget_tokens: int | None, seed: int,
 ) -> DataFrame:
-    """(row_key, id, source, n_tokens, copies, order): how often each row is in the mix, and its place in a shuffle.
-
-    Each source's budget is realised by whole passes over it and a part of one more, in
-    which documents come by blocks: a source is dealt by hash into about sqrt(tokens) / 16 blocks, the
-    blocks are permuted, documents are permuted in their block, and those that begin before
-    the rest of the budget is used up are taken once more. So a source is never gathered:
-    running sums go over its blocks, a row each, and over one block's documents. A
-    row's document that crosses the budget's end is in, so a source ends at most one document over.
-    A null source is a source of its own. Rows without words have no tokens: they come along in each
-    whole pass and cost nothing. Rows equal in id and text are told apart by a running number in their block.
-    """
-    require(docs, id_col, text_col, source_col)
+    """(row_key, id, source, n_tokens, pass, last, taken, place): every row in every pass over its source, the last one, of
+    which a part is taken, included."""
     rows = materialize(
         docs.select(
             row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("n_tokens")
@@ -104,32 +94,55 @@ def mix(
         "mix-plan",
     )
     salted = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row_key"), F.col("blocks")))
-    blocks = salted.groupBy("plan_source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    turn = Window.partitionBy("plan_source").orderBy(F.xxhash64(F.lit(seed + 1), "plan_source", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = salted.groupBy("plan_source", "block", "passes").agg(F.sum("n_tokens").alias("block_tokens"))
+    blocks = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "passes")))
+    turn = Window.partitionBy("plan_source", "pass").orderBy(F.xxhash64(F.lit(seed + 1), "plan_source", "pass", "block"), "block")
     starts = materialize(
-        blocks.select(F.col("plan_source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("block_tokens").over(turn), F.lit(0)).alias("before_block")),
+        blocks.select(
+            F.col("plan_source").alias("s"), F.col("block").alias("b"), "pass",
+            F.coalesce(F.sum("block_tokens").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_block"),
+        ),
         "mix-blocks",
     )
-    place = F.xxhash64(F.lit(seed + 2), "row_key")
-    inner = Window.partitionBy("plan_source", "block").orderBy(place, "row_key").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("plan_source", "block").orderBy(F.xxhash64(F.lit(seed + 2), "row_key"), "row_key").rowsBetween(Window.unboundedPreceding, -1)
     laid = salted.withColumn("before", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
     placed = laid.join(starts, F.col("plan_source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    extra = (F.col("n_tokens") > 0) & (F.col("before_block") + F.col("before") < F.col("rest"))
-    return placed.select(
-        "row_key", "id", "source", "n_tokens", (F.col("passes") + extra.cast("int")).cast("long").alias("copies"), F.xxhash64(F.lit(seed + 3), "row_key").alias("order")
-    )
+    inside = F.col("before_block") + F.col("before")
+    taken = (F.col("pass") < F.col("passes")) | ((F.col("n_tokens") > 0) & (inside < F.col("rest")))
+    place = F.when(F.col("budget") > 0, (F.col("pass") * F.col("total") + inside) / F.col("budget")).otherwise(0.0)
+    return placed.select("row_key", "id", "source", "n_tokens", "pass", (F.col("pass") == F.col("passes")).alias("last"), taken.alias("taken"), place.alias("place"))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of `docs`, each as often as mix() takes it. Columns stay as they are.
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy_share: float | None = 0.99,
+    max_repeats: float | None = 4.0, budget_tokens: int | None = None, seed: int = 0,
+) -> DataFrame:
+    """(row_key, id, source, n_tokens, pass, place): a row for each copy of a document in the mix.
+
+    Each source's budget is realised by whole passes over it and a part of one more, in
+    which documents come by blocks: a source is dealt by hash into about sqrt(tokens) / 16 blocks, each pass
+    permutes the blocks anew, documents are permuted in their block, and of the last pass those that begin before
+    the rest of the budget is used up are taken. `place` is the share of its source's budget that comes before the copy:
+    in the order of place every stretch of the mix holds the sources by their weights. No source is gathered:
+    running sums go over its blocks, a row each, and over one block's documents. A
+    document that crosses the budget's end is in, so a source ends at most one document over.
+    A null source is a source of its own. Rows without words have no tokens: they come along in each
+    whole pass and cost nothing. Rows equal in id and text are told apart by a running number in their block.
+    """
+    require(docs, id_col, text_col, source_col)
+    passes = _passes(docs, id_col, text_col, source_col, target_entropy_share, max_repeats, budget_tokens, seed)
+    return passes.where("taken").select("row_key", "id", "source", "n_tokens", "pass", "place")
+
+
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy_share: float | None = 0.99,
+    max_repeats: float | None = 4.0, budget_tokens: int | None = None, seed: int = 0,
+) -> DataFrame:
+    """The rows of `docs`, each as often as mix() takes it. Columns stay as they are, whatever their names.
     Rows equal in id and text come equally often, rounded up."""
-    plan = materialize(
-        mix(docs, id_col, text_col, source_col, **options)
-        .groupBy(F.col("row_key").alias("__key")).agg(F.sum("copies").cast("int").alias("__all"), F.count("*").cast("int").alias("__rows"))
-        .where("__all > 0"),
-        "mix",
-    )
-    named = docs.withColumn("__row_key", row_key(id_col, text_col))
-    joined = named.join(plan.hint("merge"), F.col("__row_key") == F.col("__key"))
-    copies = F.ceil(F.col("__all") / F.col("__rows")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    require(docs, id_col, text_col, source_col)
+    passes = _passes(docs, id_col, text_col, source_col, target_entropy_share, max_repeats, budget_tokens, seed)
+    found = passes.groupBy(F.col("row_key").alias("key")).agg(F.count_if("taken").alias("taken"), F.count_if("last").alias("rows")).where("taken > 0")
+    plan = materialize(found.select("key", F.ceil(F.col("taken") / F.col("rows")).cast("int").alias("copies")), "mix")
+    joined = keyed_rows(docs, id_col, text_col).join(plan.hint("merge"), F.col("k") == F.col("key"))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -31,7 +31,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "source", "n_tokens", "copies", "order")
+    return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "source", "n_tokens", "pass", "place")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

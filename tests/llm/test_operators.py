@@ -134,12 +134,13 @@ def test_mixing_reaches_the_target(sp):
     rows = [(i, t, "en", "big" if i < 600 else f"s{i % 4}", None) for i, t in enumerate(texts)] + [(2000, None, "en", None, None), (2001, "a b", "en", None, None)]
     docs = sp.createDataFrame(rows, SCHEMA)
     out = mixing.mix(docs, target_entropy_share=0.9, max_repeats=None).collect()
-    total, copies = Counter(), defaultdict(list)
-    for r in out:
-        total[r["source"]] += r["n_tokens"]
-        copies[r["source"]].append(r)
+    sizes = {i: len(words_of(t)) for i, t, *_ in rows}
+    source = {i: s for i, _, _, s, _ in rows}
+    total, copies = Counter(), Counter(r["id"] for r in out)
+    for i, n in sizes.items():
+        total[source[i]] += n
     whole = sum(total.values())
-    p = np.array([total[s] / whole for s in total])
+    p = np.array([total[s] / whole for s in total if total[s]])
 
     def entropy(a):
         w = p**a / (p**a).sum()
@@ -149,13 +150,23 @@ def test_mixing_reaches_the_target(sp):
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if entropy(mid)[0] > 0.9 * np.log(len(p)) else (low, mid)
-    for s, w in zip(total, entropy(high)[1]):
+    for s, w in zip((s for s in total if total[s]), entropy(high)[1]):
         budget = round(w * whole)
-        used = sum(r["copies"] * r["n_tokens"] for r in copies[s])
-        assert budget <= used + 1e-9 or used == budget
-        assert used - budget <= max(r["n_tokens"] for r in copies[s])
-        counts = {r["copies"] for r in copies[s] if r["n_tokens"]}
+        own = [i for i in sizes if source[i] == s]
+        used = sum(copies[i] * sizes[i] for i in own)
+        assert budget <= used <= budget + max(sizes[i] for i in own)
+        counts = {copies[i] for i in own if sizes[i]}
         assert max(counts) - min(counts) <= 1
+        # each copy's place is the share of the budget before it: copies follow each other without a gap, pass by pass
+        at = 0
+        for r in sorted((r for r in out if r["source"] == s and r["n_tokens"]), key=lambda r: r["place"]):
+            assert r["place"] == pytest.approx(at / budget, abs=1e-12) and r["pass"] == at // total[s]
+            at += r["n_tokens"]
+    assert sorted(r["pass"] for r in out if r["id"] == 2000) == list(range(copies[2000]))  # no tokens: in every whole pass
+    orders = [[r["id"] for r in sorted(out, key=lambda r: r["place"]) if r["source"] == "s1" and r["pass"] == k] for k in (0, 1)]
+    assert set(orders[1]) <= set(orders[0])  # the second pass is a part of one
+    other = mixing.mix(docs, target_entropy_share=0.9, max_repeats=None, seed=9).where("source = 's1' and pass = 0").orderBy("place").collect()
+    assert sorted(r["id"] for r in other) == sorted(orders[0]) and [r["id"] for r in other] != orders[0]
     again = mixing.mix(docs, target_entropy_share=0.9, max_repeats=None).collect()
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, again), key=str)
 
@@ -167,7 +178,7 @@ def test_mixing_limits_and_edges(sp):
     assert (w / w.sum() / [0.9, 0.1]).max() == pytest.approx(2.0, abs=1e-6)
     assert mixing.find_exponent(shares, None, None) == 0.0 and mixing.find_exponent(shares, 0.0, None) == 1.0
     assert mixing.mix(empty(sp)).count() == 0
-    assert mixing.mix(edges(sp)).count() == len(EDGES)
+    assert {r["id"] for r in mixing.mix(edges(sp)).collect()} <= {i for i, _ in EDGES}
     out = mixing.mix_documents(edges(sp), max_repeats=None)
     assert out.columns == edges(sp).columns and out.count() == len(EDGES)
 
@@ -203,8 +214,8 @@ def test_decontamination(sp):
         n = min(5, len((t or "").split()))
         own = grams(t, n) if n else set()
         want |= {(i, j, len(own & grams(d, n))) for i, d in enumerate(texts) if own and len(own & grams(d, n)) >= 0.8 * len(own)}
-    for block in (500_000, 40):
-        got = decontaminate.find_contaminated(frame(sp, texts), known, block_shingles=block)
+    for sent in (500_000, 40):  # sent to the tasks, and joined
+        got = decontaminate.find_contaminated(frame(sp, texts), known, sent_shingles=sent)
         assert {(r["doc_id"], r["item_id"], r["contained"]) for r in got.collect()} == want
     kept = decontaminate.drop_contaminated(frame(sp, texts), known)
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {w[0] for w in want} and kept.columns == frame(sp, texts).columns
@@ -213,6 +224,19 @@ def test_decontamination(sp):
     assert decontaminate.drop_contaminated(edges(sp), known).count() == len(EDGES)
 
 
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_decontamination_of_odd_items(sp, sent):
+    """Items without an id, of one id and different lengths, and documents that come twice."""
+    items = [(None, "no name but a text of its own"), (7, "two words"), (7, "and a longer text with the same name"), (8, None)]
+    docs = [(1, "x NO name but a text of its own y"), (2, "here are two words"), (3, "and a longer text with the same name"), (3, "and a longer text with the same name"), (4, "nothing"), (None, "two words")]
+    df = sp.createDataFrame([(i, t, "s", "k", "r") for i, t in docs], "doc_id long, text string, row_key string, k string, row string")
+    known = sp.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_contaminated(df, known, sent_shingles=sent).collect()
+    assert sorted(((r["doc_id"], r["item_id"], r["containment"]) for r in got), key=str) == sorted([(1, None, 1.0), (2, 7, 1.0), (3, 7, 1.0), (3, 7, 1.0), (None, 7, 1.0)], key=str)
+    kept = decontaminate.drop_contaminated(df, known, sent_shingles=sent)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(4, "nothing", "s", "k", "r")]
+
+
 # 4 SimHash
 
 
