@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyarrow import fs
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI (file:, hdfs:, s3:, gs:) and the path in it."""
+    """The file system of a path or URI (file:, hdfs:, s3:, gs:) and the path in it. Hadoop's names for S3 (s3a:, s3n:) are S3."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
     return fs.LocalFileSystem(), path
@@ -17,7 +19,7 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
 class NewFile:
     """A file that appears under its name only once it is whole: it is written under
     a name of this attempt and then moved, so a retried or a speculative task
-    replaces the file with the same bytes and a killed one leaves none."""
+    replaces the file with the same bytes; a killed one leaves a .draft that nothing reads."""
 
     def __init__(self, path: str, attempt: str):
         self.name = path

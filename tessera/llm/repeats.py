@@ -10,11 +10,30 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import discard, materialize, release, require, row_key
+from tessera.llm.shared import discard, materialize, release, require
 from tessera.llm.words import inside, ragged_ranges, slices, split_words, text_of_word, window_hashes, word_hashes
 
-#: A run of window starts as one long: the first start and, in the low bits, how many.
-_RUN_BITS = 24
+#: A run of window starts as one long: the first start (30 bits: a text has no more words), how many (12 bits), and in
+#: the low bits 22 more of the text's hash, by which texts whose 64-bit keys are equal are told apart.
+_COUNT_BITS, _MARK_BITS = 12, 22
+_LOW, _MARKS = (1 << _COUNT_BITS) - 1, (1 << _MARK_BITS) - 1
+
+
+def _packed(begins: np.ndarray, counts: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return (begins << (_COUNT_BITS + _MARK_BITS)) | (counts << _MARK_BITS) | marks
+
+
+def _unpacked(runs: np.ndarray, mark: int | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first starts, counts, which runs have the mark)."""
+    begins = (runs.view(np.uint64) >> np.uint64(_COUNT_BITS + _MARK_BITS)).view(np.int64)
+    return begins, (runs >> _MARK_BITS) & _LOW, (runs & _MARKS) == mark
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row_key, mark, id, text): a row's key in two parts, of 64 and 22 bits."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    mark = F.pmod(F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)), F.lit(_MARKS + 1))
+    return docs.select(key.alias("row_key"), mark.alias("mark"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def levels(window: int, first: int) -> list[int]:
@@ -47,29 +66,32 @@ def _anchors(hashes: np.ndarray, owner: np.ndarray, length: int, window: int, al
 
 
 def _rows_at(length: int, window: int, narrowed: bool):
-    """A mapInArrow function: (row_key, text[, runs]) to (h, check, row_key, run) at one level."""
+    """A mapInArrow function: (row_key, mark, text[, runs]) to (h, check, row_key, run) at one level."""
     last = length == window
+    if window > _LOW:
+        raise ValueError(f"windows of up to {_LOW} words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                offsets, words = split_words(part.column(1))
+                offsets, words = split_words(part.column(2))
+                marks = part.column(1).to_numpy(zero_copy_only=False)
                 lanes = word_hashes(words)
                 owner = text_of_word(offsets)
                 alive = inside(owner, window)
                 if narrowed:
-                    lists = part.column(2)
-                    flat = lists.flatten().to_numpy(zero_copy_only=False)
-                    of = np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy()))
+                    lists = part.column(3)
+                    of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                    begins, counts, own = _unpacked(lists.flatten().to_numpy(zero_copy_only=False), marks[of])
                     hit = np.zeros(len(alive), dtype=bool)
-                    hit[ragged_ranges(of + (flat >> _RUN_BITS), flat & ((1 << _RUN_BITS) - 1))] = True
+                    hit[ragged_ranges((offsets[of] + begins)[own], counts[own])] = True
                     alive &= hit
                 if not alive.any():
                     continue
                 hashes = window_hashes(lanes[0], length)
                 where, starts, counts = _anchors(hashes, owner, length, window, alive)
                 text = owner[starts]
-                runs = ((starts - offsets[text]) << _RUN_BITS) | counts
+                runs = _packed(starts - offsets[text], counts, marks[text])
                 check = window_hashes(lanes[1], length, 1)[where] if last else np.zeros(len(where), dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -86,7 +108,7 @@ def _rows_at(length: int, window: int, narrowed: bool):
 
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, first: int = 18) -> DataFrame:
     """(row_key, runs): the window starts of each text whose word sequence also
-    starts anywhere else, as runs packed into longs.
+    starts anywhere else, as runs packed into longs (see _packed).
 
     Level by level: a window can only repeat if its anchor (the least-hashed
     sub-window of the level's length, see _anchors) repeats, so anchors are counted over
@@ -96,7 +118,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equi-join whose skewed partitions adaptive execution splits, so a passage in a
     third of all documents gathers nowhere. Each level is a written table.
     """
-    texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    texts = _texts(docs, id_col, text_col).drop("id")
     alive = None
     for length in levels(window, first):
         rows = _window_rows(texts, alive, length, window)
@@ -111,6 +133,8 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for table in (rows, repeated, alive):
             discard(table)
         alive = following
+        if alive.isEmpty():  # nothing survives
+            break
     return alive
 
 
@@ -119,7 +143,7 @@ def _window_rows(texts: DataFrame, alive: DataFrame | None, length: int, window:
     source = texts
     if alive is not None:
         runs = alive.select(F.col("row_key").alias("k"), "runs")
-        source = texts.join(runs.hint("merge"), F.col("row_key") == F.col("k")).select("row_key", "text", "runs")
+        source = texts.join(runs.hint("merge"), F.col("row_key") == F.col("k")).select("row_key", "mark", "text", "runs")
     return materialize(source.mapInArrow(_rows_at(length, window, alive is not None), "h long, check int, row_key long, run long"), "windows")
 
 
@@ -135,20 +159,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     require(docs, id_col, text_col)
     found = repeated_starts(docs, id_col, text_col, window, first).select(F.col("row_key").alias("k"), "runs")
-    texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(found.hint("merge"), F.col("row_key") == F.col("k"), "left").select("id", "text", "runs")
+    joined = _texts(docs, id_col, text_col).join(found.hint("merge"), F.col("row_key") == F.col("k"), "left").select("id", "text", "runs", "mark")
     schema = joined.select("id").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 totals, removed, texts = [], [], []
-                for text, runs in zip(part.column(1).to_pylist(), part.column(2)):
+                for text, runs, mark in zip(part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist()):
                     words = (text or "").encode().split()
                     totals.append(len(words))
                     if runs.is_valid and len(runs.values):
-                        packed = runs.values.to_numpy(zero_copy_only=False)
-                        begins, counts = packed >> _RUN_BITS, packed & ((1 << _RUN_BITS) - 1)
+                        begins, counts, own = _unpacked(runs.values.to_numpy(zero_copy_only=False), mark)
+                        begins, counts = begins[own], counts[own]
                         edges = np.zeros(len(words) + 1, dtype=np.int64)
                         np.add.at(edges, begins, 1)
                         np.add.at(edges, begins + counts + window - 1, -1)

@@ -9,6 +9,8 @@ size, and a checksum (the low half of XXH64), and a footer with the number of fr
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,11 +35,35 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, DESCRIPTOR = 0x184D2A50, 0x184D2A5E, 0x8
 #: Distinct words whose ids a worker remembers between batches.
 REMEMBERED_WORDS = 1_000_000
 
+#: Fixed value: how the public word tokenizer cuts a text into pieces: no piece holds white space, letters and punctuation never share one.
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: More shards than this are not made: they grow with the input instead.
+MOST_SHARDS = 20_000
+
+
+def goes_by_words(definition: dict) -> bool:
+    """Whether a tokenizer's own definition shows that a text's ids are those of its words in turn, of their letters and punctuation
+    in turn, whatever the case of A-Z in ASCII words. NFC composes nothing with ASCII white space or punctuation,
+    and so each piece is the same in the word as in the text."""
+    flat = lambda part, inner: part[inner] if (part or {}).get("type") == "Sequence" else [part] if part else []
+    normal, pieces = flat(definition.get("normalizer"), "normalizers"), flat(definition.get("pre_tokenizer"), "pretokenizers")
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    cut = {"type": "Split", "pattern": {"Regex": WORD_PIECES}, "behavior": "Removed", "invert": True}
+    plain_bytes = lambda x: x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex")
+    added = definition.get("added_tokens") or []
+    return (
+        {"type": "Lowercase"} in normal
+        and all(x in ({"type": "NFC"}, {"type": "Lowercase"}, spaces) for x in normal)
+        and pieces[:1] == [cut] and all(plain_bytes(x) for x in pieces[1:])
+        and all(x["content"].startswith("<|") and not re.search(r"\s", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in added)
+        and (definition.get("model") or {}).get("dropout") is None and not definition.get("truncation") and not definition.get("padding")
+    )
+
 
 class WordEncoder:
-    """Encodes with a tokenizer that drops white space and whose pieces never cross
-    it, so that a text's ids are those of its words in turn: every distinct word is
-    encoded once and remembered. check() makes sure that the tokenizer is one."""
+    """Encodes with a tokenizer whose definition goes_by_words(): every distinct word is
+    encoded once and remembered. check() compares it with the library on probes besides."""
 
     def __init__(self, path: str):
         import os
@@ -47,6 +73,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.path = path
         self.clear()
 
     def clear(self) -> None:
@@ -57,7 +84,10 @@ class WordEncoder:
         self.flat = np.zeros(0, dtype=np.int32)
 
     def check(self) -> bool:
-        """Whether encode() gives the ids of whole texts, on probes of white space, letters of either case and punctuation."""
+        """Whether the tokenizer's definition allows encode(), and encode() gives the ids of whole texts on probes of white space, letters of either case and punctuation."""
+        with open(self.path, encoding="utf-8") as f:
+            if not goes_by_words(json.load(f)):
+                return False
         probe = [
             "It's  a", "Straße,\tÉté\n", "x1 2y z 　", " ", "", "don't 'LL <|x|> %%% é́", "The END. Of It! MiXeD (Case), NASA: one; two... Why?!",
             "".join(map(chr, range(65, 91))), *[f"{w}{c} {w}" for w in ("a", "Word", "é") for c in ".,!?*$%&#;:"],
@@ -107,8 +137,9 @@ class WordEncoder:
         apart = pc.replace_substring_regex(pc.fill_null(texts, ""), r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?*$%&#;:]+)(\s|$)", r"\1 \2\3")
         offsets, words = split_words(apart)
         codes, distinct = word_codes(words)
-        # A-Z are lower-cased by the tokenizer, too; only in its special tokens, which have "<|", case counts
-        distinct = [w if "<|" in w else w.encode().lower().decode() for w in distinct]
+        # A-Z are lower-cased by the tokenizer, too. Case counts in its special tokens, which have "<|", and before combining
+        # marks, which may compose with a small letter only, so words that aren't ASCII stay as they are
+        distinct = [w.lower() if w.isascii() and "<|" not in w else w for w in distinct]
         if len(self.first) + len(distinct) > REMEMBERED_WORDS:
             self.clear()
         place = self._find(distinct)[codes] if distinct else np.zeros(0, dtype=np.int64)
@@ -238,12 +269,13 @@ def write_shards(
 
     Null ids come first and null texts are empty; rows with one id are in the order of their
     text. Texts are dealt out by range of id, so each task encodes its range and writes
-    it in one go, holding one batch; ids of one document never gather elsewhere.
+    it in one go, holding one batch; ids of one document never gather elsewhere. A shard has about
+    `text_bytes_per_shard` of text, or more where that would make over MOST_SHARDS of them.
     """
     require(docs, id_col, text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // text_bytes_per_shard))
+    n = min(max(1, -(-total // text_bytes_per_shard)), MOST_SHARDS)
     tie = F.xxhash64("text")
     dealt = texts.repartitionByRange(n, F.col("id"), tie).sortWithinPartitions("id", tie, "text")
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tessera.llm.files import NewFile, open_at
 from tessera.llm.shared import materialize, new_path, require
 
-#: Fixed values of the formats: gzip's first bytes (deflate), the version line, and what an archive made here is dated.
-GZIP_MAGIC, VERSION, DATE = b"\x1f\x8b\x08", b"WARC/1.1", "2024-01-01T00:00:00Z"
+#: Fixed values of the formats: gzip's first bytes (deflate), how a version line begins, the version written here, and what an archive made here is dated.
+GZIP_MAGIC, ANY_VERSION, VERSION, DATE = b"\x1f\x8b\x08", b"WARC/1.", b"WARC/1.1", "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -90,32 +90,44 @@ def write_warc(
 
 
 def parse_record(data: bytes) -> dict:
-    """The fields of a whole record."""
+    """The fields of a whole record of any type and any version 1. What a record doesn't have is null; the payload is that of
+    an HTTP response or request, or the whole block of another record that isn't a revisit."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {}
     for line in head.split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
-        fields[name.strip().lower().decode()] = value.strip().decode()
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    lengths = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+    kind, length = fields.get("warc-type"), fields.get("content-length", "")
+    block = rest[: int(length)] if length.isdigit() else rest
+    http, parted, payload = block.partition(b"\r\n\r\n")
+    if not fields.get("content-type", "").startswith("application/http"):
+        http, payload = b"", block
+    elif not parted:
+        http, payload = block, b""
+    lengths = [x.split(b":")[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    digest = fields.get("warc-payload-digest")
     number = lambda name: int(x) if (x := fields.get(name, "").strip("<>").rpartition(":")[2]).lstrip("-").isdigit() else None
+    revisit = kind == "revisit"
     return {
         "page_id": number("warc-record-id"),
-        "record_type": fields["warc-type"],
+        "record_type": kind,
         "target_uri": fields.get("warc-target-uri"),
-        "payload": payload if fields["warc-type"] == "response" else None,
-        "payload_bytes": len(payload) if fields["warc-type"] == "response" else lengths[0],
-        "payload_digest": fields["warc-payload-digest"].partition(":")[2],
+        "payload": None if revisit else payload,
+        "payload_bytes": (int(lengths[0]) if lengths and lengths[0].isdigit() else None) if revisit else len(payload),
+        "payload_digest": digest.partition(":")[2] if digest and digest.lower().startswith("sha1:") else None,
         "refers_to": number("warc-refers-to"),
     }
 
 
-def records_starting_in(f, start: int, end: int, chunk: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
-    """(offset, record bytes) of the members of an open file that start in [start, end).
+class Damage(ValueError):
+    """Bytes of an archive that belong to no whole record."""
+
+
+def records_starting_in(f, start: int, end: int, chunk: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record bytes) of the members of an open file that start in [start, end).
 
     Bytes are scanned for the gzip magic; a candidate counts if what it inflates
-    to begins with the WARC version line and the member ends well (its CRC is
+    to begins with a WARC version line and the member ends well (its CRC is
     right), since the magic also occurs by chance inside compressed data. Scanning
     goes on behind a member's end; a record that runs past `end` is read to its end."""
     at, window, base, size = start, b"", start, f.size()
@@ -141,7 +153,7 @@ def records_starting_in(f, start: int, end: int, chunk: int = 1 << 16) -> Iterat
         if data is None:
             at += 1
         else:
-            yield at, data
+            yield at, used, data
             at += used
             if at - base > len(window):
                 window, base = b"", at
@@ -155,13 +167,13 @@ def _inflate(f, head: bytes, at: int, chunk: int) -> tuple[bytes | None, int]:
         while True:
             out.append(z.decompress(piece))
             fed += len(piece)
-            if len(out) <= 2 or len(out[0]) < len(VERSION):
-                begun = b"".join(out)
-                if not begun.startswith(VERSION[: len(begun)]):
+            if len(out) <= 2 or len(out[0]) < len(ANY_VERSION):
+                begun = b"".join(out)[: len(ANY_VERSION)]
+                if not ANY_VERSION.startswith(begun):
                     return None, 0
             if z.eof:
                 data = b"".join(out)
-                return (data, fed - len(z.unused_data)) if data.startswith(VERSION) else (None, 0)
+                return (data, fed - len(z.unused_data)) if data.startswith(ANY_VERSION) else (None, 0)
             f.seek(at + fed)
             piece = f.read(chunk)
             if not piece:
@@ -170,11 +182,17 @@ def _inflate(f, head: bytes, at: int, chunk: int) -> tuple[bytes | None, int]:
         return None, 0
 
 
-def read_warc(files: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
+def read_warc(files: DataFrame, range_bytes: int = 4 << 20, on_damage: str = "error") -> DataFrame:
     """The records of the archives in `files` (path, bytes), page_id, record_type,
     target_uri, payload, payload_bytes, payload_digest, refers_to, in tasks of about
-    `range_bytes`: a range of a large file, or several small files. A response's digest is checked against its payload: a mismatch is an error.
-    An archive of any size is shared out; ranges are dealt out evenly."""
+    `range_bytes`: a range of a large file, or several small files. An archive of any size is shared out; ranges are dealt out evenly.
+
+    Records of every type and of WARC/1.0 and 1.1 come, with nulls for what they lack. A SHA-1 digest is checked against its payload.
+    Members follow each other without gaps: bytes between a record's end and the next record's start, in whichever range that is, and before
+    the first record are damaged, and the range of the record before them says so. With on_damage "error" such bytes, or a digest that doesn't fit, fail the
+    job; with "row" each damaged stretch comes as a row of record_type "damaged" with its length as payload_bytes, and all whole records beside it."""
+    if on_damage not in ("error", "row"):
+        raise ValueError(f"on_damage is {on_damage!r}, not error or row")
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("end"))
     n = 1 + (files.agg(F.sum("bytes")).first()[0] or 0) // range_bytes
@@ -182,22 +200,44 @@ def read_warc(files: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 
+    def damaged(path: str, begin: int, end: int) -> dict:
+        if on_damage == "error":
+            raise Damage(f"{path}: no record in bytes {begin} to {end}")
+        return dict.fromkeys(names) | {"record_type": "damaged", "payload_bytes": end - begin}
+
+    def rows_of(path: str, start: int, end: int) -> Iterator[dict]:
+        with open_at(path) as f:
+            done = None if start else 0  # where the last record of this range ended
+            for at, used, data in records_starting_in(f, start, end):
+                if done is not None and at > done:
+                    yield damaged(path, done, at)
+                row = parse_record(data)
+                if row["payload"] is not None and row["payload_digest"] and payload_digest(row["payload"]) != row["payload_digest"]:
+                    if on_damage == "error":
+                        raise Damage(f"{path}: the payload of the record at {at} has another digest")
+                    row["record_type"] = "damaged"
+                yield row
+                done = at + used
+            # behind its last record a range answers for the bytes up to the next record, wherever that begins
+            if done is None:
+                return
+            stop = next((at for at, _, _ in records_starting_in(f, max(done, end), f.size())), f.size())
+            if stop > done:
+                yield damaged(path, done, stop)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
         for batch in batches:
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 rows: list[dict] = []
                 held = 0
-                with open_at(path) as f:
-                    for _, data in records_starting_in(f, start, end):
-                        row = parse_record(data)
-                        if row["payload"] is not None and payload_digest(row["payload"]) != row["payload_digest"]:
-                            raise ValueError(f"{path}: the payload of {row['page_id']} has another digest")
-                        rows.append(row)
-                        held += len(data)
-                        if held > (4 << 20):
-                            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
-                            rows, held = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
+                for row in rows_of(path, start, end):
+                    rows.append(row)
+                    held += len(row["payload"] or b"")
+                    if held > (4 << 20):
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                yield batch_of(rows)
 
     return ranges.repartition(n).mapInArrow(run, schema)
 

@@ -397,25 +397,61 @@ def test_language(sp, spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
-def test_language_profiles_by_brute_force(sp):
-    texts = ["aaa bb", "bb cc. aaa", "Über das", None, "12 !!", ""]
-    df = sp.createDataFrame([(i, t, "x" if i < 2 else "y") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+def brute_grams(text):
+    clean = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = f" {' '.join(clean.split())} "
+    return Counter(g for n in (1, 2, 3) for k in range(len(padded) - n + 1) if (g := padded[k : k + n]) != " ")
+
+
+def brute_ranks(counts):
+    """Most frequent first; ties in the order of the n-grams' code points, shorter ones first."""
+    return sorted(counts, key=lambda g: (-counts[g], len(g), g))[: language.TOP]
+
+
+def test_language_by_brute_force(sp):
+    r = random.Random(15)
+    alphabets = {"x": "abcdefgh", "y": "efghijkl", "z": "äößéab", "w": "ابتثab"}
+    texts = [
+        (lang, " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 8))) for _ in range(r.randrange(1, 120))))
+        for lang, letters in alphabets.items() for _ in range(12)
+    ]
+    texts += [("x", "aaa bb"), ("y", "Über Das-Ding 12"), ("x", None), ("y", "12 !!"), (None, "abc abc"), ("z", ""), ("w", "ef"), ("twin", "same"), ("copy", "same")]
+    df = sp.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
     counts = defaultdict(Counter)
-    for i, t in enumerate(texts):
-        for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split():
-            p = f" {w} "
-            for n in (1, 2, 3):
-                counts["x" if i < 2 else "y"].update(g for k in range(len(p) - n + 1) if (g := p[k : k + n]).strip() and not (n > 1 and False))
-    got = language.learn_profiles(df).groupBy("lang").count().collect()
-    # n-grams that span a space between words count, too, so there are at least as many
-    assert all(r["count"] >= len([g for g in counts[r["lang"]]]) for r in got)
-    pred = {r["doc_id"]: r for r in language.identify(df, language.learn_profiles(df)).collect()}
-    assert [pred[i]["lang_pred"] for i in range(6)] == ["x", "x", "y", "und", "und", "und"]
+    for i, (lang, t) in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and t is not None:
+            counts[lang] += brute_grams(t)
+    counts = {k: c for k, c in counts.items() if c}
+    profiles = {lang: {g: k for k, g in enumerate(brute_ranks(c))} for lang, c in counts.items()}
+    known = language.learn_profiles(df.where(~language.held_out())).collect()
+    text_of = lambda gram: "".join(chr((gram & (2**64 - 1)) >> s & 0x1FFFFF) for s in (42, 21, 0)).lstrip("\0")
+    assert {(x["lang"], text_of(x["gram"]), x["rank"]) for x in known} == {(lang, g, k) for lang, p in profiles.items() for g, k in p.items()}
+    got = {x["doc_id"]: x for x in language.learn_and_identify(df).collect()}
+    for i, (_, t) in enumerate(texts):
+        own = brute_ranks(brute_grams(t or ""))
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(p[g] - k) if g in p else language.TOP for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)  # ties: the first by name
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(1 - apart[best] / (language.TOP * len(own)), abs=1e-12)
     none = language.identify(df, language.learn_profiles(df.limit(0))).collect()
-    assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)}
+    assert {(x["lang_pred"], x["score"]) for x in none} == {("und", 0.0)}
     assert language.learn_and_identify(empty(sp)).count() == 0
 
 
+def test_language_ties(sp):
+    """Languages with one profile, and n-grams of one frequency at the end of a profile."""
+    words = " ".join(a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst")  # more n-grams of one frequency than a profile holds
+    df = sp.createDataFrame([(0, words, "b"), (1, words, "a"), (2, words, "b"), (3, words, "a")], "doc_id long, text string, lang string")
+    ranks = {lang: [] for lang in "ab"}
+    for x in language.learn_profiles(df).orderBy("rank").collect():
+        ranks[x["lang"]].append(x["gram"])
+    assert ranks["a"] == ranks["b"] and len(ranks["a"]) == language.TOP
+    got = language.identify(df, language.learn_profiles(df)).collect()
+    assert {(x["lang_pred"], x["score"]) for x in got} == {("a", 1.0)}
+
+
 # 6 tokens
 
 
@@ -513,11 +549,42 @@ def test_warc_ranges_share_out_every_record_once(sp, tmp_path):
     for size in (1, 7, 100, 1000, 10**6):
         with warc.open_at(path) as f:
             if size == 1:
-                starts = [at for at, _ in warc.records_starting_in(f, 0, len(data))]
+                starts = [at for at, _, _ in warc.records_starting_in(f, 0, len(data))]
                 assert len(starts) == 60
                 continue
             found = [x for a in range(0, len(data), size) for x in warc.records_starting_in(f, a, min(a + size, len(data)), 64)]
-        assert [d for _, d in found] == records
+        assert [d for _, _, d in found] == records
+
+
+@pytest.mark.parametrize("size", [50, 700, 10**6])
+def test_warc_other_records_and_damage(sp, tmp_path, size):
+    """Archives of others: version 1.0, warcinfo, request and metadata records, digests that aren't SHA-1, and damaged bytes."""
+    old = warc.record(1, "http://a/", b"<p>", warc.payload_digest(b"<p>"), None).replace(b"WARC/1.1", b"WARC/1.0", 1)
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:x-y>\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\nsoft: x\r\n\r\n\r\n"
+    request = b"WARC/1.1\r\nWARC-Type: request\r\nContent-Type: application/http\r\nContent-Length: 18\r\n\r\nGET / HTTP/1.1\r\n\r\n\r\n\r\n"
+    other = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Payload-Digest: md5:00\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    last = warc.record(2, "http://b/", b"q" * 900, warc.payload_digest(b"q" * 900), None)
+    whole = [warc.member(x) for x in (info, old, request, other, last)]
+
+    def read(parts, **options):
+        path = f"{tmp_path}/{len(list(tmp_path.iterdir()))}.warc.gz"
+        open(path, "wb").write(b"".join(parts))
+        files = sp.createDataFrame([(path, sum(map(len, parts)))], "path string, bytes long")
+        return sorted(((r["record_type"], r["page_id"], r["payload_bytes"]) for r in warc.read_warc(files, size, **options).collect()), key=str)
+
+    good = [("metadata", None, 2), ("request", None, 0), ("response", 1, 3), ("response", 2, 900), ("warcinfo", None, 9)]
+    assert read(whole) == good
+    bad = bytearray(whole[1])
+    bad[-6] ^= 0x40  # the CRC
+    spoilt = [whole[0], bytes(bad), *whole[2:]]
+    with pytest.raises(Exception, match="no record in bytes"):
+        read(spoilt)
+    assert read(spoilt, on_damage="row") == sorted([x for x in good if x[1] != 1] + [("damaged", None, len(bad))], key=str)
+    assert read([b"junk", *whole, whole[4][:20]], on_damage="row") == sorted([*good, ("damaged", None, 4), ("damaged", None, 20)], key=str)
+    wrong = warc.member(last.replace(b"qqqq", b"qqqz", 1))
+    with pytest.raises(Exception, match="another digest"):
+        read([wrong])
+    assert [x[0] for x in read([wrong, whole[1]], on_damage="row")] == ["damaged", "response"]
 
 
 def test_warc_edges(sp):
@@ -635,3 +702,32 @@ def test_repeats_edges(sp):
     assert len(got) == len(EDGES) and sorted(r["n_removed"] for r in got)[-2:] == [120, 120]
     assert repeats.remove_repeats(empty(sp)).count() == 0
     assert repeats.levels(35, 5) == [5, 9, 18, 35]
+
+
+# all of them
+
+
+def test_names_that_clash_and_long_texts(sp):
+    """A text of 10 MB, and columns named like those that the operators derive."""
+    r = random.Random(20)
+    vocab = [f"word{i}" for i in range(60000)]
+    long = "\n".join(" ".join(r.choice(vocab) for _ in range(12)) for _ in range(110000))
+    assert len(long) > 10_000_000
+    short = " ".join(r.choice(vocab) for _ in range(100))
+    extra = ["k", "row", "sid", "rejected_by", "__key", "__row_key", "row_key", "runs", "copies", "body", "fp", "group"]
+    rows = [(i, t, "en", "s", 1, *extra) for i, t in enumerate([long, short, f"{long} end", None, ""])]
+    docs = sp.createDataFrame(rows, SCHEMA + "".join(f", `{c}` string" for c in extra)).repartition(5)
+    same = lambda df, ids: df.columns == docs.columns and sorted((x["doc_id"], tuple(x[c] for c in extra)) for x in df.collect()) == [(i, tuple(extra)) for i in ids]
+    assert same(quality.keep_accepted(docs), [0, 1, 2])
+    assert same(near_copies.keep_one_of_each(docs), [0, 1, 3])
+    items = sp.createDataFrame([(1, " ".join(short.split()[3:30]))], "item_id long, text string")
+    assert same(decontaminate.drop_contaminated(docs, items), [0, 2, 3, 4])
+    assert same(mixing.mix_documents(docs), range(5))
+    assert [x["n_removed"] for x in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 0, 109999, 0, 0]
+    assert [x["n_words"] - x["n_removed"] for x in repeats.remove_repeats(docs).orderBy("doc_id").collect()] == [0, 100, 1, 0, 0]
+    assert [x["component_id"] for x in simhash.simhash_components(docs).orderBy("doc_id").collect()] == [0, 1, 0, 3, 3]
+    assert language.learn_and_identify(docs).count() == 5
+    assert [x["n_tokens"] > 1 for x in tokens.write_and_read(docs, tokenizer_path()).orderBy("doc_id").collect()] == [True, True, True, False, False]
+    web = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a/").alias("url"), F.col("text").alias("html"), *[F.col(f"`{c}`") for c in extra])
+    assert [x["payload_bytes"] for x in warc.archive_and_read(web).orderBy("page_id").collect()] == [len(long), len(short), len(long) + 4, 0, 0]
+    assert urls.filter_urls(web).count() == 5

@@ -32,3 +32,27 @@ def test_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(x["n_tokens"] for x in out) > 0 and {x["doc_id"] for x in out} <= set(range(40))
     assert set(QUERIES) == {f"op{i}_{n}" for i, n in enumerate("line_dedup mixing decontamination simhash language_id token_output warc quality_rules url_filters substring_dedup".split(), 1)}
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_nulls_repeats_and_other_columns(spark, tmp_path):
+    body = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, body, "en", None, None, "x"), (1, body, "en", None, None, "x"), (None, body + " end", None, "s", 1, "y"), (2, None, None, None, None, "z"), (3, "", "en", "s", 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    spark.createDataFrame([(None, "other words of an item"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row"]
+        kept.append(sorted(((r["doc_id"], r["row"]) for r in docs.collect()), key=str))
+    assert kept == [[(1, "x"), (1, "x"), (None, "y")], [(1, "x")], [(1, "x")], [(1, "x")]]
+    assert [r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()] == [1]
