@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, mixing, near_copies, quality, tokens
 from tessera.llm.queries import table, tokenizer_path
-from tessera.llm.shared import materialize, ship
+from tessera.llm.shared import discard, materialize, ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
     ship(spark)
-    return quality.judge(docs).where("rejected_by is null").drop("rejected_by")
+    return quality.keep_accepted(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        read, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)
