@@ -54,6 +54,13 @@ def positive(value: float, name: str) -> None:
         raise ValueError(f"{name} must be positive.")
 
 
+def require_rows(df: DataFrame, message: str) -> DataFrame:
+    """`df`, or ValueError if it has no row: a small job that stops at the first."""
+    if df.isEmpty():
+        raise ValueError(message)
+    return df
+
+
 def require_columns(df: DataFrame, names: Iterable[str], label: str) -> None:
     """KeyError for missing columns, with the names that come close."""
     missing = [n for n in names if n not in df.columns]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame
 def stage(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the folder of spark.checkpoint.dir, read back. Later plans
     start from the table: nothing is computed twice, plans stay small enough to be analysed
-    quickly, and a lost executor costs a reread. Where no checkpoint folder is set
-    (one machine), a temporary one is set for the session."""
+    quickly, and a lost executor costs a reread. Where no checkpoint folder is set, a
+    temporary one is set for the session on one machine; on a cluster that is an error. The folder's owner cleans it."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import ratio
+from tessera.functions.columns import ratio, require_rows
 from tessera.functions.stages import stage
 from tessera.operators.crosssection import decile_weights
 from tessera.operators.grid import align_inner
@@ -51,7 +51,7 @@ def long_short_backtest(
     along = by_key.orderBy("date")
     dated = dated.withColumn("start", F.last(F.when(F.col("is_rebalance"), F.col("date")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     dated = dated.withColumn("period", F.sum(F.col("is_rebalance").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))).select(*key, "date", "start", "period", "is_rebalance")
-    dated = stage(dated, "backtest-dates")
+    dated = require_rows(stage(dated, "backtest-dates"), "scores and returns share no date to rebalance on")
     targets = stage(decile_weights(cells.join(F.broadcast(dated.where("is_rebalance")), [*key, "date"], "left_semi"), score, *key), "backtest-targets")
     held = (
         targets.select(*key, "asset_id", F.col("date").alias("start"), "book", F.col("weight").alias("target"))

@@ -89,6 +89,8 @@ def candidate_composite(panel: DataFrame, names: Sequence[str], min_coverage: fl
     """The mean of the named factors that are there, if enough are; names that the panel lacks are
     skipped. `require_first`: NULL where the first of them is."""
     present = [n for n in names if n in panel.columns]
+    if not present:
+        raise ValueError(f"none of the factors {list(names)} is in the panel")
     need = max(1, math.ceil(min_coverage * len(present)))
     gate = count_non_null(present) >= need
     if require_first:

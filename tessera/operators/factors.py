@@ -47,35 +47,56 @@ def first_filled(panel: DataFrame, names: Sequence[str]) -> str:
     return names[0]
 
 
-def _style(panel: DataFrame, name: str, parts: dict[str, str], at_least: int) -> DataFrame:
-    """A style: the mean of its normalized parts. `parts`: an expression for each part's name."""
-    made = panel.withColumns({f"__{k}": F.expr(v) for k, v in parts.items()})
-    made = normalize_components(made, [f"__{k}" for k in parts])
-    return made.withColumn(name, mean_of_available([f"__{k}" for k in parts], at_least)).drop(*[f"__{k}" for k in parts])
+@dataclass(frozen=True)
+class Style:
+    """A factor that is the mean of normalized parts, if `at_least` of them are there. `parts`: an expression for each part's name."""
 
+    parts: dict[str, str]
+    at_least: int
 
-def value(panel: DataFrame, at_least: int = 2) -> DataFrame:
+
+def styled(panel: DataFrame, styles: dict[str, Style]) -> DataFrame:
+    """The panel with a column for each style. The parts of all styles are normalized together: one aggregate of bounds and one
+    window by date, however many styles there are."""
+    parts = {f"__{name}_{k}": F.expr(v) for name, s in styles.items() for k, v in s.parts.items()}
+    made = normalize_components(panel.withColumns(parts), list(parts))
+    return made.withColumns({name: mean_of_available([f"__{name}_{k}" for k in s.parts], s.at_least) for name, s in styles.items()}).drop(*parts)
+
+
+def value_style(panel: DataFrame, at_least: int = 2) -> Style:
     parts = {"bm": "book_market", "ey": "earnings_yield", "fy": "fcf_yield", "dy": "dividend_yield"}
     require_columns(panel, parts.values(), "value")
-    return _style(panel, "value", parts, at_least)
+    return Style(parts, at_least)
 
 
-def quality(panel: DataFrame, at_least: int = 3, margin: str | None = None) -> DataFrame:
+def quality_style(panel: DataFrame, at_least: int = 3, margin: str | None = None) -> Style:
     """The margin is one column for the whole panel: the first of MARGINS that has any value."""
     require_columns(panel, ["roa", "asset_turnover", "debt_ratio"], "quality")
     margin = margin or first_filled(panel, [m for m in MARGINS if m in panel.columns] or list(MARGINS))
-    return _style(panel, "quality", {"roa": "roa", "m": margin, "at": "asset_turnover", "d": "-debt_ratio"}, at_least)
+    return Style({"roa": "roa", "m": margin, "at": "asset_turnover", "d": "-debt_ratio"}, at_least)
 
 
-def invest(panel: DataFrame) -> DataFrame:
-    require_columns(panel, ["assets_growth"], "invest")
-    return panel.withColumn("invest", -F.col("assets_growth"))
+def growth_style(panel: DataFrame, at_least: int = 2) -> Style:
+    parts = {"s": "sales_growth", "o": "operating_income_growth", "e": "earnings_growth"}
+    require_columns(panel, parts.values(), "growth")
+    return Style(parts, at_least)
+
+
+def value(panel: DataFrame, at_least: int = 2) -> DataFrame:
+    return styled(panel, {"value": value_style(panel, at_least)})
+
+
+def quality(panel: DataFrame, at_least: int = 3, margin: str | None = None) -> DataFrame:
+    return styled(panel, {"quality": quality_style(panel, at_least, margin)})
 
 
 def growth(panel: DataFrame, at_least: int = 2) -> DataFrame:
-    parts = {"s": "sales_growth", "o": "operating_income_growth", "e": "earnings_growth"}
-    require_columns(panel, parts.values(), "growth")
-    return _style(panel, "growth", parts, at_least)
+    return styled(panel, {"growth": growth_style(panel, at_least)})
+
+
+def invest(panel: DataFrame) -> DataFrame:
+    require_columns(panel, ["assets_growth"], "invest")
+    return panel.withColumn("invest", -F.col("assets_growth"))
 
 
 def price_factors(panel: DataFrame, looks: Lookbacks = Lookbacks(), names: Sequence[str] = PRICE_FACTORS) -> DataFrame:
@@ -96,15 +117,20 @@ def price_factors(panel: DataFrame, looks: Lookbacks = Lookbacks(), names: Seque
 
 #: Fundamental factors by name; users add their own here: a function from a panel with signals to one with the factor.
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {"value": value, "quality": quality, "invest": invest, "growth": growth}
+#: Those of them that are styles are made together, unless a user's function has their name.
+_STYLES = {value: value_style, quality: quality_style, growth: growth_style}
 
 
 def fundamental_factors(signals: DataFrame, names: Sequence[str] = FUNDAMENTAL_FACTORS) -> DataFrame:
     """(asset_id, date, t, factors) from signals on the grid."""
     if not names:
         raise ValueError("no fundamental factors are selected")
-    out = signals
     for n in names:
         if n not in REGISTRY:
             raise ValueError(f"unknown fundamental factor {n!r}; there are {sorted(REGISTRY)}")
-        out = REGISTRY[n](out)
+    styles = {n: _STYLES[REGISTRY[n]](signals) for n in names if REGISTRY[n] in _STYLES}
+    out = styled(signals, styles) if styles else signals
+    for n in names:
+        if n not in styles:
+            out = REGISTRY[n](out)
     return out.select("asset_id", "date", "t", *names)

@@ -16,12 +16,17 @@ def dense_grid(rows: DataFrame, dates: DataFrame | None = None) -> DataFrame:
 
     The calendar goes along with each asset as one array (its size is the number of
     dates), so the grid is made by a generator per asset and not by a cartesian
-    product, and it is partitioned by asset, as the window operators need it."""
+    product. Its cells and the rows are put together, dealt out by asset, and merged by an aggregate that keeps
+    this partitioning, which is the one that the window operators need: one exchange. Of rows that
+    share a cell the filled values count, any one of several; rows at dates that the calendar lacks go."""
     dates = calendar(rows) if dates is None else dates
     spots = dates.agg(F.sort_array(F.collect_list(F.struct("t", "date"))).alias("spots"))
     assets = rows.select("asset_id").distinct().crossJoin(F.broadcast(spots))
     full = assets.select("asset_id", F.explode("spots").alias("s")).select("asset_id", F.col("s.date").alias("date"), F.col("s.t").alias("t"))
-    return full.join(rows.drop("t"), ["asset_id", "date"], "left")
+    values = [c for c in rows.columns if c not in ("asset_id", "date", "t")]
+    both = full.unionByName(rows.drop("t"), allowMissingColumns=True).repartition("asset_id")
+    merged = both.groupBy("asset_id", "date").agg(F.max("t").alias("t"), *[F.first(c, ignorenulls=True).alias(c) for c in values])
+    return merged.where("t is not null")
 
 
 def renumber(panel: DataFrame) -> DataFrame:

@@ -305,7 +305,10 @@ _QUERIES: dict[str, str] = {
     "quality_factor": f"select asset_id, date, round({_style(['roa', 'gross_profit_margin', 'asset_turnover', 'low_debt'], 3)}, 6) + 0.0 as quality from comp",
     "invest_factor": "select asset_id, date, round(-assets_growth, 6) + 0.0 as invest from daily",
     "growth_factor": f"select asset_id, date, round({_style(['sales_growth', 'operating_income_growth', 'earnings_growth'], 2)}, 6) + 0.0 as growth from comp",
-    "align_left": """select asset_id, date, round(ret, 6) + 0.0 as ret, round(case when asset_id % 2 = 0 then ret end, 6) + 0.0 as x from ret_m where date >= '1996-01-01'""",
+    "align_left": """select asset_id, date, round(ret, 6) + 0.0 as ret, round(case when ret is not null then price end, 6) + 0.0 as x from ret_m
+        where date in (select date from ret_m where ret is not null)""",
+    "align_outer": "select asset_id, date, round(ret, 6) + 0.0 as ret, round(fwd_ret, 6) + 0.0 as fwd_ret from ret_m where ret is not null or fwd_ret is not null",
+    "mask_reindex": "select asset_id, date, coalesce(ret > 0, false) as rose from ret_m",
     "ic_momentum": f"select date, {r6('ic')}, n from ic",
     "ic_period": f"select date, {r6('ic')}, n from ic_q",
     "ic_stats": """select round(mean_ic, 6) as mean_ic, round(std_ic, 6) as std_ic, round(t_naive, 6) as t_naive, round(t_newey_west, 6) as t_newey_west, n_obs, nw_lag,

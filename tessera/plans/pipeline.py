@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import require_rows
 from tessera.functions.stages import stage
 from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, qc, ridge, timeseries, universe
 from tessera.operators.grid import align_factors_left
@@ -17,11 +18,12 @@ from tessera.sources.market import Source
 
 @dataclass
 class Inputs:
-    """rows: market rows; statements: the sets by name; sectors: (asset_id, sector), for that mode."""
+    """rows: market rows; statements: the sets by name; sectors: (asset_id, sector) and market: (date, mkt), for those modes."""
 
     rows: DataFrame
     statements: dict[str, DataFrame]
     sectors: DataFrame | None = None
+    market: DataFrame | None = None
 
 
 @dataclass
@@ -50,16 +52,21 @@ class Run:
 
 
 def load(spark: SparkSession, source: Source, settings: Settings) -> Inputs:
-    """Everything lazily; what a run doesn't use is never read."""
+    """Everything lazily; what a run doesn't use is never read. No usable company, or no market row of one in the range, is an error."""
+    check(settings)
     companies = source.read(spark, "companies")
-    ids = market.company_ids(companies)
+    ids = require_rows(market.company_ids(companies), "companies have no usable id")
     rows = market.market_rows(source, spark, ids, settings.start_date, settings.end_date)
+    require_rows(rows, f"no market row of a company from {settings.start_date} to {settings.end_date}")
     sets = market.statements(source, spark, ids, settings.publish_shift_business_days)
     sectors = None
     if settings.neutralization_mode == "sector":
         industries = source.read(spark, "industries") if "sector" not in companies.columns else None
         sectors = market.sector_map(rows.select("asset_id").distinct(), companies, industries)
-    return Inputs(rows, sets, sectors)
+    proxy = None
+    if "market" in settings.neutralization_mode:
+        proxy = market.proxy_returns(source, spark, settings.market_asset_id, settings.start_date, settings.end_date)
+    return Inputs(rows, sets, sectors, proxy)
 
 
 def scored_panel(clean: DataFrame, inputs: Inputs, settings: Settings, signal_rows: DataFrame | None = None) -> DataFrame:
@@ -82,20 +89,26 @@ def scored_panel(clean: DataFrame, inputs: Inputs, settings: Settings, signal_ro
             raise ValueError("sector neutralization needs sectors")
         panel = panel.join(F.broadcast(inputs.sectors), "asset_id", "left")
     if settings.neutralization_mode == "market":
-        panel = panel.withColumn("mkt", market_return(settings.market_asset_id))
+        panel = panel.join(F.broadcast(usable_market(inputs.market, panel)), "date", "left")  # a row a date
         panel = panel.withColumn("beta", timeseries.rolling_beta("mkt", "ret", settings.beta_lookback, settings.beta_min))
     panel = crosssection.neutralize(panel, names, settings.neutralization_mode)
     panel = crosssection.standardize(panel, names)
     return panel.withColumn("composite", crosssection.equal_weight(settings.price_factors, settings.fundamental_factors))
 
 
-def market_return(asset_id: int | None):
-    """The market's return by date: one asset's, or the mean of all."""
-    from tessera.functions.columns import across
+#: Dates on which the market must have a return.
+LEAST_MARKET_DATES = 30
+
 
-    if asset_id is None:
-        return F.avg("ret").over(across())
-    return F.max(F.when(F.col("asset_id") == asset_id, F.col("ret"))).over(across())
+def usable_market(found: DataFrame | None, panel: DataFrame) -> DataFrame:
+    """(date, mkt) on the panel's dates; fewer than LEAST_MARKET_DATES returns are an error."""
+    if found is None:
+        raise ValueError("market neutralization needs the market's returns")
+    own = stage(found.join(panel.select("date").distinct(), "date", "left_semi").select("date", "mkt"), "market")
+    n = own.where("mkt is not null").count()
+    if n < LEAST_MARKET_DATES:
+        raise ValueError(f"the market's asset has {n} returns on the panel's dates; {LEAST_MARKET_DATES} are needed")
+    return own
 
 
 def run_core(inputs: Inputs, settings: Settings, signal_rows: DataFrame | None = None, grid: DataFrame | None = None) -> Core:
@@ -106,6 +119,7 @@ def run_core(inputs: Inputs, settings: Settings, signal_rows: DataFrame | None =
         grid, settings.cleaning, settings.min_assets_per_date, settings.quality_lookback, settings.quality_max_hard_events, settings.quality_min_coverage
     )
     clean.prices, clean.raw, clean.summary = stage(clean.prices, "clean"), stage(clean.raw, "raw"), stage(clean.summary, "clean-summary")
+    require_rows(clean.prices, f"cleaning leaves no price (dates need {settings.min_assets_per_date} assets)")
     panel = stage(scored_panel(clean.prices, inputs, settings, signal_rows), "scored")
     score = settings.output_factor
     if score == "ridge":
@@ -129,6 +143,7 @@ def evaluate(core: Core, settings: Settings) -> Run:
     panel = core.panel
     pairs = evaluation.ic_inputs(panel, panel.select("asset_id", "date", "t", "fwd_ret"), settings.rebalance_freq, panel.select("asset_id", "date", "t", "price"))
     ic = stage(evaluation.ic_series(pairs, settings.ic_min_assets), "ic")
+    require_rows(ic, f"no rebalance date ({settings.rebalance_freq}) has {settings.ic_min_assets} assets with a score and a return")
     base = panel.select("asset_id", "date", F.col("in_universe").alias("base"))
     result = backtest.long_short_backtest(
         panel, panel.select("asset_id", "date", "t", "fwd_ret"), settings.rebalance_freq, settings.turnover_cost_rate, settings.borrow_cost_rate_annual

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.stages import stage
@@ -18,32 +18,30 @@ SELECTION_RULES = ("all", "drop_stably_negative")
 COMBINE_METHODS = ("ew", "ridge")
 
 
-def half_years(start: str, end: str) -> tuple[str, str]:
-    """(end of the first half, start of the second), split at calendar years; one year has no second half."""
-    first, last = int(start[:4]), int(end[:4])
-    if last < first:
-        raise ValueError("train window must include at least one calendar year.")
-    years = list(range(first, last + 1))
-    if len(years) == 1:
-        return end, "9999-12-31"
-    k = (len(years) + 1) // 2
-    return f"{years[k - 1]}-12-31", f"{years[k]}-01-01"
+def first_half(date: Column, start: str, end: str) -> Column:
+    """Whether a date of the window is in its first half. Halves are whole calendar years; of an odd number
+    of years the middle one is in the first, so a window within one year has no second half."""
+    begin, stop = int(start[:4]), int(end[:4])
+    if stop < begin:
+        raise ValueError(f"the train window ends in {stop}, before it begins in {begin}")
+    return F.year(date) <= (begin + stop) // 2
 
 
 def train_factor_report(panel: DataFrame, factors: Sequence[str], start: str, end: str, freq: str | None, ic_min_assets: int = 50) -> DataFrame:
     """A row a factor over the train window (panel: price, fwd_ret and factors), best first: mean IC, its
     Newey-West t, its number and its means over the two halves. All factors go through one job."""
     if not factors:
-        raise ValueError("factor_panels cannot be empty.")
+        raise ValueError("a train report needs a factor at least")
     window = stage(slice_dates(panel, start, end).select("asset_id", "date", "t", "price", "fwd_ret", *factors), "train-window")
-    first_end, second_start = half_years(start, end)
+    filled = window.agg(*[F.count(f).alias(f) for f in factors]).first()
+    if missing := [f for f in factors if not filled[f]]:
+        raise ValueError(f"nothing between {start} and {end} in {missing}")
+    early = first_half(F.col("date"), start, end)
     long = melt_factors(window.select("asset_id", "date", "t", *factors), factors).withColumnRenamed("value", "score")
     pairs = evaluation.ic_inputs(long, window.select("asset_id", "date", "t", "fwd_ret"), freq, window.select("asset_id", "date", "t", "price"), "score", "factor")
     ic = stage(evaluation.ic_series(pairs, ic_min_assets, "score", "fwd_ret", "factor"), "train-ic")
     stats = evaluation.ic_stats(ic, None, "factor")
-    early = F.col("date") <= F.lit(first_end).cast("date")
-    late = F.col("date") >= F.lit(second_start).cast("date")
-    halves = ic.groupBy("factor").agg(F.avg(F.when(early, F.col("ic"))).alias("train_ic_mean_first_half"), F.avg(F.when(late, F.col("ic"))).alias("train_ic_mean_second_half"))
+    halves = ic.groupBy("factor").agg(F.avg(F.when(early, F.col("ic"))).alias("train_ic_mean_first_half"), F.avg(F.when(~early, F.col("ic"))).alias("train_ic_mean_second_half"))
     named = panel.sparkSession.createDataFrame([(f,) for f in factors], "factor string")
     out = named.join(stats, "factor", "left").join(halves, "factor", "left")
     return out.select(
@@ -61,7 +59,7 @@ def drop_stably_negative(report: DataFrame) -> DataFrame:
 def select_factors(report: DataFrame, rule: str) -> list[str]:
     """Factor names, best first (a row a factor comes to the driver)."""
     if rule not in SELECTION_RULES:
-        raise ValueError(f"Unknown selection_rule '{rule}'. Available: {list(SELECTION_RULES)}")
+        raise ValueError(f"{rule!r} is no rule of selection; there are {SELECTION_RULES}")
     kept = report if rule == "all" else drop_stably_negative(report)
     return [r["factor"] for r in kept.collect()]
 
@@ -110,15 +108,16 @@ def selected_scores(
 ) -> DataFrame:
     """(asset_id, date, t, score) over the scoring window, from factors selected on the train window."""
     if combine not in COMBINE_METHODS:
-        raise ValueError(f"Unknown combine_method '{combine}'. Available: {list(COMBINE_METHODS)}")
-    chosen = select_factors(train_factor_report(panel, factors, train_start, train_end, freq), rule)
-    if combine == "ew":
-        scores = panel.select("asset_id", "date", "t", candidate_composite(panel, chosen).alias("score"))
-    else:
-        if alphas is None or refit_every is None:
-            raise ValueError("alpha_grid and refit_every_n_rebalances are required when combine_method='ridge'.")
-        if window_type == "rolling" and (window_size is None or window_size <= 0):
-            raise ValueError("ridge_window_size must be positive when ridge_window_type='rolling'.")
+        raise ValueError(f"scores are combined by one of {COMBINE_METHODS}, not by {combine!r}")
+    settings = None
+    if combine == "ridge":
+        if not alphas or not refit_every:
+            raise ValueError("ridge scores need penalties (alphas) and how often to refit (refit_every)")
         settings = RidgeSettings(window_type, window_size, refit_every=refit_every)
+        settings.oldest(1)
+    chosen = select_factors(train_factor_report(panel, factors, train_start, train_end, freq), rule)
+    if settings:
         scores = tune_ridge(panel, panel, panel, freq, chosen, score_start, alphas, settings).scores
+    else:
+        scores = panel.select("asset_id", "date", "t", candidate_composite(panel, chosen).alias("score"))
     return slice_dates(scores, score_start, score_end)

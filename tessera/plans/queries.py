@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, qc, ridge, timeseries, universe
+from tessera.functions.columns import across
+from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, grid, qc, ridge, timeseries, universe
 from tessera.operators.grid import align_factors_left, renumber
 from tessera.plans import demo, pipeline, protocol
 from tessera.plans.pipeline import Inputs
@@ -160,7 +161,7 @@ def sector_neutral(s, d):
 
 
 def _with_beta(s, d) -> DataFrame:
-    return _scored(s, d).withColumn("mkt", pipeline.market_return(None)).withColumn("beta", timeseries.rolling_beta("mkt", "ret", 12, 6))
+    return _scored(s, d).withColumn("mkt", F.avg("ret").over(across())).withColumn("beta", timeseries.rolling_beta("mkt", "ret", 12, 6))
 
 
 def rolling_beta(s, d):
@@ -260,8 +261,21 @@ def growth_factor(s, d):
 
 
 def align_left(s, d):
-    late = demo.returns(s, d).where("asset_id % 2 = 0").select("asset_id", "date", "t", F.col("ret").alias("x")).where("date >= '1996-01-01'")
-    return cells(align_factors_left(late, demo.returns(s, d).select("asset_id", "date", "t", "ret")), "ret", "x")
+    moved = demo.returns(s, d).where("ret is not null").select("asset_id", "date", "t", F.col("price").alias("x"))
+    return cells(align_factors_left(moved, demo.returns(s, d).select("asset_id", "date", "t", "ret")), "ret", "x")
+
+
+def align_outer(s, d):
+    """Monthly returns beside the later of two prices; either side lacks cells that the other has."""
+    moved = demo.returns(s, d).where("ret is not null").select("asset_id", "date", "t", "ret")
+    ahead = demo.returns(s, d).where("fwd_ret is not null").select("asset_id", "date", "t", "fwd_ret")
+    return cells(grid.align_outer(moved, ahead), "ret", "fwd_ret")
+
+
+def mask_reindex(s, d):
+    """A mask on the cells that have a return, on the whole grid; the other cells are false."""
+    mask = demo.returns(s, d).where("ret is not null").select("asset_id", "date", (F.col("ret") > 0).alias("rose"))
+    return grid.with_mask(demo.returns(s, d), mask, "rose", False).select("asset_id", "date", "rose")
 
 
 def _pairs(s, d) -> DataFrame:
@@ -409,7 +423,7 @@ QUERIES: dict[str, Query] = {
         returns, future_returns, rolling_compound, momentum, reversal, loo_market, low_vol, adv, terminal_missing, rebalance_me, rebalance_wfri,
         period_forward_returns, winsorize, zscore, component_mean, sector_map, sector_neutral, rolling_beta, market_neutral, composite_ew, composite_candidate,
         universe_mask, universe_diagnostics, tradable_scores, publish_align, business_days, dedupe_keep_last, asof_signals, daily_signal_ffill, growth_yoy, signals_all,
-        value_factor, quality_factor, invest_factor, growth_factor, align_left, ic_momentum, ic_period, ic_stats, ic_acf, ic_coverage, decile_weights,
+        value_factor, quality_factor, invest_factor, growth_factor, align_left, align_outer, mask_reindex, ic_momentum, ic_period, ic_stats, ic_acf, ic_coverage, decile_weights,
         backtest_equity, backtest_summary, performance_stats, price_qc, removed_prices, factor_qc, factor_report, stable_negative_screen, validation_matrix,
         ridge_moments, ridge_scores, ridge_alpha_table, research_core, research_run, event_bars, renumbered,
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import finite, require_columns, usable_price
+from tessera.functions.columns import finite, ratio, require_columns, usable_price
 from tessera.operators.grid import calendar, dense_grid
 
 MARKET_SCHEMA = "asset_id long, date date, adj_close double, close double, volume double, ingest_seq long"
@@ -32,8 +32,8 @@ class Source:
 
 
 def numeric_id(c: str | Column) -> Column:
-    """An id as a long; what isn't a whole number becomes NULL."""
-    d = (F.col(c) if isinstance(c, str) else c).cast("string").try_cast("double")
+    """An id as a long; what isn't a whole number becomes NULL. It goes through a decimal, which holds every long exactly."""
+    d = (F.col(c) if isinstance(c, str) else c).cast("string").try_cast("decimal(38,18)")
     return F.when(d == F.floor(d), d.try_cast("long"))
 
 
@@ -73,6 +73,13 @@ def market_rows(source: Source, spark: SparkSession, universe: DataFrame | None
     return canonical(rows, universe, dedupe=True)
 
 
+def proxy_returns(source: Source, spark: SparkSession, asset_id: int, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(date, mkt): the daily returns of one asset's own usable prices, whether or not the universe has it."""
+    rows = market_rows(source, spark, None, start, end).where(F.col("asset_id") == asset_id)
+    price = usable_price("adj_close")
+    return rows.select("date", (ratio(price, F.lag(price).over(Window.partitionBy("asset_id").orderBy("date"))) - 1).alias("mkt"))
+
+
 def price_panel(rows: DataFrame) -> DataFrame:
     """The dense grid with price (adjusted close, unusable ones NULL) and dollar_volume
     (close times volume), over the dates that have any price."""
@@ -143,13 +150,19 @@ def sector_map(ids: DataFrame, companies: DataFrame, industries: DataFrame | Non
     return checked.select("asset_id", sector.alias("sector"))
 
 
-def as_of(left: DataFrame, right: DataFrame, values: list[str], left_date: str = "date", right_date: str = "eff_date") -> DataFrame:
-    """`left` with the values of the latest row of `right` of the same asset at its date or before. The
-    row is carried whole, so a NULL in it stays NULL. Spark has no as-of join: the two are put into one
-    table, in which one window carries rows on, at the cost of one exchange and one sort by asset."""
-    a = left.withColumn("__left", F.struct(*left.columns)).select("asset_id", F.col(left_date).alias("__at"), "__left", F.lit(None).alias("__row"), F.lit(1).alias("__side"))
-    row = F.struct(*values)
-    b = right.select("asset_id", F.col(right_date).alias("__at"), F.lit(None).alias("__left"), row.alias("__row"), F.lit(0).alias("__side"))
+def as_of_sets(left: DataFrame, sets: dict[str, tuple[DataFrame, list[str]]], left_date: str = "date", right_date: str = "eff_date") -> DataFrame:
+    """`left` with a struct for each of `sets` (a table and its columns that are wanted): its latest row of the same asset at the
+    left row's date or before, NULL before the first. Rows are carried whole, so a NULL in one stays NULL. Spark has no as-of join: all
+    tables are put into one, in which one window carries rows on, at the cost of one exchange and one sort by asset for all sets together."""
+    shape = {name: F.struct(*values) for name, (_, values) in sets.items()}
+    rows = left.select("asset_id", F.col(left_date).alias("__at"), F.struct(*left.columns).alias("__left"), F.lit(1).alias("__side"))
+    for name, (right, _) in sets.items():
+        rows = rows.unionByName(right.select("asset_id", F.col(right_date).alias("__at"), shape[name].alias(name), F.lit(0).alias("__side")), allowMissingColumns=True)
     w = Window.partitionBy("asset_id").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("__last", F.last("__row", ignorenulls=True).over(w)).where("__side = 1")
-    return both.select("__left.*", *[F.col(f"__last.{v}").alias(v) for v in values])
+    carried = rows.select("__left", "__side", *[F.last(name, ignorenulls=True).over(w).alias(name) for name in sets])
+    return carried.where("__side = 1").select("__left.*", *sets)
+
+
+def as_of(left: DataFrame, right: DataFrame, values: list[str], left_date: str = "date", right_date: str = "eff_date") -> DataFrame:
+    """as_of_sets() with one table, whose columns `values` come beside the left ones."""
+    return as_of_sets(left, {"__row": (right, values)}, left_date, right_date).select(*left.columns, "__row.*")

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.plans import demo, pipeline, protocol
@@ -44,8 +45,6 @@ def test_run_from_files(spark, sf_dir, tmp_path):
     """The whole run, from a folder of tables."""
     from dataclasses import replace
 
-    from pyspark.sql import functions as F
-
     bars = demo.bars(spark, sf_dir)
     bars.select("asset_id", "date", F.col("price").alias("adj_close"), F.col("price").alias("close"), (F.col("dollar_volume") / F.col("price")).alias("volume"), F.lit(1).cast("long").alias("ingest_seq")).write.parquet(f"{tmp_path}/market")
     demo.sectors(spark, sf_dir).write.parquet(f"{tmp_path}/companies")
@@ -58,7 +57,9 @@ def test_run_from_files(spark, sf_dir, tmp_path):
     out = pipeline.run(spark, Source(str(tmp_path)), settings)
     assert set(pipeline.summary(out)) == {"mean_ic", "t_newey_west", "annual_vol", "sharpe", "max_drawdown"}
     assert out.core.factor_qc.count() == 7 and out.core.price_qc.count() == 2
-    ridge = replace(settings, output_factor="ridge", neutralization_mode="market")
+    with pytest.raises(ValueError, match="market_asset_id"):
+        pipeline.run(spark, Source(str(tmp_path)), replace(settings, neutralization_mode="market"))
+    ridge = replace(settings, output_factor="ridge", neutralization_mode="market", market_asset_id=1)
     core = pipeline.run_core(pipeline.load(spark, Source(str(tmp_path)), ridge), ridge)
     assert "ridge" in core.panel.columns
     with pytest.raises(ValueError):
@@ -66,8 +67,12 @@ def test_run_from_files(spark, sf_dir, tmp_path):
 
 
 def test_protocol_rules(spark):
-    assert protocol.half_years("2010-01-01", "2014-12-31") == ("2012-12-31", "2013-01-01")
-    assert protocol.half_years("2010-01-01", "2010-12-31")[0] == "2010-12-31"
+    days = spark.createDataFrame([("2010-05-01",), ("2012-12-31",), ("2013-01-01",), ("2014-01-01",)], "d string").select(F.col("d").cast("date").alias("d"))
+    halves = lambda a, b: [r[0] for r in days.orderBy("d").select(protocol.first_half(F.col("d"), a, b)).collect()]
+    assert halves("2010-01-01", "2014-12-31") == [True, True, False, False] and halves("2010-01-01", "2013-12-31") == [True, False, False, False]
+    assert halves("2010-01-01", "2010-12-31")[0]
+    with pytest.raises(ValueError, match="before it begins"):
+        protocol.first_half(F.col("d"), "2011-01-01", "2010-12-31")
     report = spark.createDataFrame([("a", -1.0, -1.0, -1.0), ("b", -1.0, -1.0, None), ("c", 1.0, -1.0, -1.0)], "factor string, train_ic_mean_spearman double, train_ic_mean_first_half double, train_ic_mean_second_half double")
     assert protocol.select_factors(report, "drop_stably_negative") == ["b", "c"]
     with pytest.raises(ValueError):
