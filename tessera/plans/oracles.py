@@ -9,8 +9,9 @@ PARTS: dict[str, str] = {}
 
 
 def _bars(unit: str) -> str:
-    return f"""select l_suppkey as asset_id, date_trunc('{unit}', l_shipdate)::date as date, sum(l_extendedprice) / sum(l_quantity) as price,
-        sum(l_extendedprice) as dollar_volume from lineitem group by 1, 2"""
+    cents = "sum(round(l_extendedprice * 100)::bigint)::double / 100"
+    return f"""select l_suppkey as asset_id, date_trunc('{unit}', l_shipdate)::date as date, {cents} / sum(l_quantity) as price,
+        {cents} as dollar_volume from lineitem group by 1, 2"""
 
 
 for _u, _s in (("month", "m"), ("week", "w"), ("day", "d")):
@@ -249,6 +250,40 @@ def _style(parts: list[str], least: int) -> str:
 
 _DIRTY = "case when asset_id % 11 = 0 then null when asset_id % 7 = 0 then null when asset_id % 5 = 0 then null else price end"
 
+def _ridge(alphas: tuple[float, ...], window: int = 12, least: int = 6, refit: int = 2, rows: int = 50) -> dict[str, str]:
+    """Walk-forward ridge on three factors: moments of the gated rows by date, summed over the dates before, and the
+    system of three equations by Cramer's rule."""
+    x = PRICED
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    sums = [("n", "1"), ("sy", "target"), *((f"sx{i}", x[i]) for i in range(3)), *((f"sxy{i}", f"{x[i]} * target") for i in range(3)), *((f"sxx{i}{j}", f"{x[i]} * {x[j]}") for i, j in pairs)]
+    by_date = ", ".join(f"coalesce(sum(case when ok then {e} end), 0)::double as {n}" for n, e in sums)
+    over = ", ".join(f"sum({n}) over w as {n}" for n, _ in sums)
+    spread = ", ".join(f"case when sxx{i}{i} - sx{i} * sx{i} / n > 0 then sqrt((sxx{i}{i} - sx{i} * sx{i} / n) / n) else 1 end as d{i}" for i in range(3))
+    cells = ", ".join(f"(sxx{i}{j} - sx{i} * sx{j} / n) / (d{i} * d{j}){' + alpha' if i == j else ''} as a{i}{j}" for i, j in pairs)
+    right = ", ".join(f"(sxy{i} - sx{i} * sy / n) / d{i} as r{i}" for i in range(3))
+
+    def det(columns: list[list[str]]) -> str:
+        (a, b, c), (d, e, f), (g, h, i) = ([columns[k][r] for k in range(3)] for r in range(3))
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    matrix = [[f"a{min(r, k)}{max(r, k)}" for r in range(3)] for k in range(3)]
+    solved = ", ".join(f"{det([['r0', 'r1', 'r2'] if k == i else matrix[k] for k in range(3)])} / {det(matrix)} / d{i} as c{i}" for i in range(3))
+    score = " + ".join(["sy / n", *(f"c{i} * ({x[i]} - sx{i} / n)" for i in range(3))])
+    return {
+        "rmom": f"select date, row_number() over (order by date) - 1 as step, {by_date} from rgate group by date",
+        "rspan": f"select step, {over} from rmom window w as (order by step rows between {window} preceding and 1 preceding)",
+        "rbegin": f"select min(step) as begun from rspan where step >= {least} and n >= {rows}",
+        "rsys": f"select *, {cells}, {right} from (select *, {spread} from rspan cross join (select unnest({list(alphas)}::double[]) as alpha) cross join rbegin where step >= begun and (step - begun) % {refit} = 0)",
+        "rfit": f"select *, {solved} from rsys",
+        "rpred": f"""select f.alpha, asset_id, g.date, target as fwd_ret, case when {' and '.join(f'{c} is not null' for c in x)} then {score} end as score
+        from (select date as on_date, step as at_step from rmom) m cross join rbegin join rfit f on f.step = at_step - (at_step - rbegin.begun) % {refit} and at_step >= rbegin.begun join rgate g on g.date = on_date""",
+    }
+
+
+PARTS |= _ridge((0.1, 10.0, 1000.0))
+PARTS["ric"] = _ic("(select * from rpred where date < '2000-01-01')", "alpha, date")
+
+
 _QUERIES: dict[str, str] = {
     "bars_month": cells("bars_m", "price", "dollar_volume"),
     "bars_week": cells("bars_w", "price", "dollar_volume"),
@@ -338,6 +373,8 @@ _QUERIES: dict[str, str] = {
     "ridge_moments": """select date, count(*) filter (ok) as n, round(coalesce(sum(case when ok then target end), 0), 6) + 0.0 as sy, round(coalesce(sum(case when ok then momentum end), 0), 6) + 0.0 as sx_0,
         round(coalesce(sum(case when ok then momentum * target end), 0), 6) + 0.0 as sxy_0, round(coalesce(sum(case when ok then momentum * momentum end), 0), 6) + 0.0 as sxx_0_0,
         round(coalesce(sum(case when ok then momentum * reversal end), 0), 6) + 0.0 as sxx_0_1, round(coalesce(sum(case when ok then reversal * low_vol end), 0), 6) + 0.0 as sxx_1_2 from rgate group by date""",
+    "ridge_scores": "select asset_id, date, round(score, 6) + 0.0 as score from rpred where alpha = 10",
+    "ridge_alpha_table": "select alpha, round(avg(ic), 6) + 0.0 as pre_mean_ic, count(ic) as pre_n_obs from ric group by alpha",
     "event_bars": "select user_id as asset_id, ts::date as date, round(sum(value * 1.0) / sum(1.0), 6) + 0.0 as vwap, round(sum(1.0::double), 6) as volume, count(*) as n from events group by 1, 2",
     "renumbered": "select date, row_number() over (order by date) as t from (select distinct date from bars_m) where month(date) <> 2",
 }
