@@ -94,7 +94,43 @@ select doc_id, m.item_id, contained::bigint as contained, n_shingles::bigint as
 from m join n on m.item_id = n.item_id where contained >= 0.8 * n_shingles
 """
 
+_WARC = r"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as sha from pages),
+f as (select sha as s, min(page_id) as first from p group by sha having count(*) > 1),
+b as (select *, cast(from_hex(sha) as bit)::varchar as bits from p)
+select page_id, payload_bytes::bigint as payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([substr(bits, 5 * i + k, 1)::int * (2 ** (5 - k))::int for k in range(1, 6)])::int, 1) for i in range(0, 32)], '') as payload_digest,
+       case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from b left join f on sha = s
+"""
+
+#: Redirects from each page whose id isn't divisible by 5 to the one before it, so chains of up to five pages; verdicts by a walk along them.
+_ALIASES = r"""
+with recursive u as (
+  select page_id, coalesce(translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') as path,
+         case when url like '%://%' then regexp_replace(lower(regexp_extract(url, '^[\s\S]*?://[^/?#]*', 0)) || regexp_extract(url, '^[\s\S]*?://[^/?#]*([\s\S]*)$', 1), '#[\s\S]*$', '') end as node
+  from pages
+),
+rules(verdict, rh, rp) as (
+  values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+),
+h as (
+  select page_id, arg_max(verdict, length(rh || rp)) as own
+  from u, rules where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id
+),
+j as (select u.page_id, node, own from u left join h on u.page_id = h.page_id),
+e as (select a.node as x, b.node as y from j a join j b on b.page_id = a.page_id - 1 where a.page_id % 5 <> 0 and a.node <> b.node),
+ways as (select x, y from e union select y as x, x as y from e),
+r(x, y) as (select x, x from ways union select r.x, ways.y from r join ways on r.y = ways.x),
+w as (select r.x as node, count(*) filter (own = 'block') as blocked, count(*) filter (own = 'allow') as allowed from r join j on j.node = r.y group by r.x)
+select page_id, coalesce(own, case when blocked > 0 and allowed = 0 then 'block' else 'allow' end) as verdict from j left join w on j.node = w.node
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_warc": _WARC,
+    "url_alias_verdicts": _ALIASES,
     "op1_line_dedup": _LINES,
     "op3_decontamination": _LEAKS,
     "op8_quality_rules": _QUALITY,

@@ -65,6 +65,14 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's operator with redirects derived from the table itself: the pages link to none of each other."""
+    pages = table(spark, sf_dir, "pages")
+    before = pages.select((F.col("page_id") + 1).alias("next"), F.col("url").alias("dst"))
+    redirects = pages.where("page_id % 5 <> 0").join(before, F.col("page_id") == F.col("next")).select(F.col("url").alias("src"), "dst")
+    return urls.filter_urls(pages, redirects=redirects).select("page_id", "verdict")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.sha256_of_kept(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -73,6 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_mixing, op3_decontamination, op4_simhash, op5_language_id,
-        op6_token_output, op7_warc, op8_quality_rules, op9_url_filters, op10_substring_dedup,
+        op6_token_output, op7_warc, op8_quality_rules, op9_url_filters, op10_substring_dedup, url_alias_verdicts,
     )
 }
