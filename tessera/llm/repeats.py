@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import discard, materialize, release, require
 from tessera.llm.words import inside, ragged_ranges, slices, split_words, text_of_word, window_hashes, word_hashes
 
-#: A run of window starts as one long: the first start (30 bits: a text has no more words), how many (12 bits), and in
-#: the low bits 22 more of the text's hash, by which texts whose 64-bit keys are equal are told apart.
-_COUNT_BITS, _MARK_BITS = 12, 22
+#: A run of window starts as one long: the first start (32 bits: a text has fewer words), how many (16 bits), and in
+#: the low bits 16 more of the text's hash, by which texts whose 64-bit keys are equal are told apart. Whole bytes compress better.
+_COUNT_BITS, _MARK_BITS = 16, 16
 _LOW, _MARKS = (1 << _COUNT_BITS) - 1, (1 << _MARK_BITS) - 1
 
 
@@ -30,7 +30,7 @@ def _unpacked(runs: np.ndarray, mark: int | np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row_key, mark, id, text): a row's key in two parts, of 64 and 22 bits."""
+    """(row_key, mark, id, text): a row's key in two parts, of 64 and 16 bits."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     mark = F.pmod(F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)), F.lit(_MARKS + 1))
     return docs.select(key.alias("row_key"), mark.alias("mark"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
