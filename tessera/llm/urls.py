@@ -133,25 +133,25 @@ def _compiled(rules: Sequence[UrlRule]) -> Column:
 def with_rule(pages: DataFrame, rules: Sequence[UrlRule]) -> DataFrame:
     """`pages` (with host and path) with `hit`: the longest rule that fits the host or one
     of its parent domains and starts the path. Up to COMPILED_RULES rules are one
-    expression. More are joined: every distinct host, found map-side first,
-    meets the rules at its parent domains, and pages meet their host's rules in a
-    join that may split hot hosts."""
+    expression. More are joined: every distinct host and path, found map-side first, is cut to the
+    lengths that the rules of each of its parent domains have, and what is left is equal to a
+    rule's path or not. No rules are gathered, however many a domain has; of each
+    domain only the distinct lengths are. Pages meet their URL's rule in a join that may split hot URLs."""
     if len(rules) <= COMPILED_RULES:
         return pages.withColumn("hit", _compiled(rules))
     spark = pages.sparkSession
     table = spark.createDataFrame([(r.host, r.path, len(r.name), r.name, r.verdict) for r in rules], "rh string, rp string, n int, rule string, verdict string")
+    lengths = table.groupBy(F.col("rh").alias("domain")).agg(F.collect_set(F.char_length("rp")).alias("lengths"))
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = pages.groupBy("host").agg(F.lit(1).alias("one")).select("host", F.explode(parents).alias("parent"))
-    by_host = materialize(
-        hosts.join(table, F.col("parent") == F.col("rh"))
-        .groupBy("host").agg(F.collect_list(F.struct("n", "rule", "verdict", "rp")).alias("rules")).withColumnRenamed("host", "rule_host"),
-        "host-rules",
-    )
-    path = F.col("path")
-    fit = F.filter("rules", lambda r: path.startswith(r["rp"]))
-    best = F.array_max(F.transform(fit, lambda r: F.struct(r["n"].alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    return pages.join(by_host, F.col("host") == F.col("rule_host"), "left").withColumn("hit", best).drop("rules", "rule_host")
+    seen = pages.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(parents).alias("parent"))
+    fit = F.filter("lengths", lambda k: k <= F.char_length("path"))
+    cut = seen.join(lengths, F.col("parent") == F.col("domain")).select("host", "path", "parent", F.explode(fit).alias("length"))
+    cut = cut.select("host", "path", "parent", F.left(F.col("path"), F.col("length")).alias("start"))
+    met = cut.join(table, (F.col("parent") == F.col("rh")) & (F.col("start") == F.col("rp")))
+    best = met.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max(F.struct("n", "rule", "verdict")).alias("hit"))
+    best = materialize(best, "url-rules")
+    return pages.join(best, (F.col("host") == F.col("rule_host")) & (F.col("path") == F.col("rule_path")), "left").drop("rule_host", "rule_path")
 
 
 def filter_urls(

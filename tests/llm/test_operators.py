@@ -647,6 +647,26 @@ def test_rules_and_hosts(sp):
         urls.parse_rules(["deny x"])
 
 
+def test_many_rules_of_one_domain(sp, monkeypatch):
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("/abé") for _ in range(r.randrange(n)))
+    hosts = ["com", "b.com", "a.b.com", "com.b", "org", "xcom"]
+    lines = [f"{r.choice(['block', 'allow'])} {r.choice(hosts)}{'/' + some(5) if r.random() < 0.95 else ''}" for _ in range(300)]
+    rows = [(i, f"http://{r.choice([*hosts, 'c.a.b.com', 'B.Com', ''])}/{some(9)}?q", None) for i in range(400)] + [(400, None, None), (401, "com/a", None), (402, "x://com", None)]
+
+    def judged(host, path):
+        own = [(len(x.name), x.name, x.verdict) for x in urls.parse_rules(lines) if host and (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        return max(own)[1:] if own else (None, "allow")
+
+    got = urls.filter_urls(pages(sp, rows), lines).collect()
+    wanted = {x["page_id"]: judged(x["host"], x["path"]) for x in got}
+    assert len(got) == len(rows) and len(set(wanted.values())) > 40
+    assert {x["page_id"]: (x["rule"], x["verdict"]) for x in got} == wanted
+    monkeypatch.setattr(urls, "COMPILED_RULES", 1000)
+    by_id = lambda found: sorted(found, key=lambda x: x["page_id"])
+    assert by_id(urls.filter_urls(pages(sp, rows), lines).collect()) == by_id(got)
+
+
 def test_decisions_reach_aliases(sp):
     link = lambda u: f'<html><link href="{u}" rel="canonical"></html>'
     rows = [
