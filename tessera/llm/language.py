@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import materialize, require
@@ -86,14 +86,10 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
             yield _batch(lang, *parts[0])
 
     counted = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = counted.groupBy("lang", F.pmod(F.hash("gram"), F.lit(64)).alias("salt")).agg(_largest())
-    best = ranked.groupBy("lang").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=True), 1, TOP).alias("best"))
-    return best.select("lang", F.posexplode("best").alias("rank", "b")).select("lang", F.col("b.gram").alias("gram"), "rank")
-
-
-def _largest():
-    """The TOP most frequent of a salted share, so that no language's n-grams gather whole."""
-    return F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("gram").alias("gram")))), 1, TOP).alias("best")
+    # of each language a task sends on the TOP of its share of the n-grams, so none gathers whole
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best = counted.select("lang", "gram", place.alias("place")).where(F.col("place") <= TOP)
+    return best.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def _batch(lang: str, grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
