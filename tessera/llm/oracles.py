@@ -128,6 +128,77 @@ w as (select r.x as node, count(*) filter (own = 'block') as blocked, count(*) f
 select page_id, coalesce(own, case when blocked > 0 and allowed = 0 then 'block' else 'allow' end) as verdict from j left join w on j.node = w.node
 """
 
+
+
+def _best(state: int) -> str:
+    """The cheapest way from a state, ties ASCII-least, before any insertion: delete, keep or rerole the row `o`."""
+    role, after = [("user", 2), ("user", 2), ("assistant", 3), ("user", 2)][state]
+    way = lambda cost, edit, to, said: f"{{'c': {cost} + s{to}.c, 'a': '{edit}' || s{to}.a, 'r': {said} || s{to}.r}}"
+    keep = f"when initial = '{role[0]}' then {way('more', 'K', after, 'chr(10) || role || chr(58) || text')}"
+    if state == 0:
+        keep += f" when initial = 's' then {way('more', 'K', 1, 'chr(10) || role || chr(58) || text')}"
+    rerole = way("3 + more", "R", after, f"chr(10) || '{role}:' || text")
+    return f"list_sort(list_filter([{way(4, 'D', state, chr(39) * 2)}, case when must then null {keep} end, case when not must then {rerole} end], lambda x: x is not null))[1]"
+
+
+def _inserted(state: str, to: str) -> str:
+    role = "assistant" if state == "2" else "user"
+    return f"list_sort([b{state}, {{'c': 3 + {to}.c, 'a': 'I' || {to}.a, 'r': chr(10) || '{role}:' || {to}.r}}])[1]"
+
+
+#: CRC-32 bit by bit; then a walk over each conversation's rows from the last to the first, with the best way from each of four states.
+_CONVERSATIONS = rf"""
+with recursive k as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations
+),
+c as (
+  select conv_id, turn, role, text,
+         xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(key, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                         lambda a, e: case when e >= 0 then xor(a, e) else xor(a >> 1, 3988292384::bigint * (a & 1)) end), 4294967295::bigint) % 20 as code
+  from k
+),
+d as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role,
+         case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from c, unnest(case when code = 3 then [1, 2] else [1] end) where code <> 0
+),
+n as (
+  select *, row_number() over (partition by conv_id, role, text order by i) as nth,
+         substr(role, 1, 1) as initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last
+  from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from d)
+),
+o as (
+  select *, last = '' as blank, last <> '' and nth > 1 as duplicate, last not in ('', '.', '!', '?') and nth = 1 as truncated,
+         last = '' or nth > 1 as must, case when last not in ('.', '!', '?') then 3 else 0 end as more,
+         lag(initial) over (partition by conv_id order by i) || initial not in ('su', 'ua', 'au') as illegal
+  from n
+),
+w(conv_id, i, s0, s1, s2, s3) as (
+  select conv_id, max(i) + 1, {{'c': 0::bigint, 'a': '', 'r': ''}}, {{'c': 6::bigint, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}},
+         {{'c': 3::bigint, 'a': 'I', 'r': chr(10) || 'assistant:'}}, {{'c': 0::bigint, 'a': '', 'r': ''}}
+  from o group by conv_id
+  union all
+  select conv_id, i, {_inserted('0', 'v2')}, {_inserted('1', 'v2')}, v2, {_inserted('3', 'b2')}
+  from (
+    select *, {_inserted('2', 'b3')} as v2
+    from (
+      select w.conv_id, o.i, {_best(0)} as b0, {_best(1)} as b1, {_best(2)} as b2, {_best(3)} as b3
+      from w join o on w.conv_id is not distinct from o.conv_id and o.i = w.i - 1
+    )
+  )
+),
+f as (select conv_id, s0 from w where i = 1),
+g as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+         count(*) filter (truncated) as truncated, count(*) filter (illegal) as illegal
+  from o group by conv_id
+),
+a as (select distinct conv_id from conversations)
+select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+       coalesce(illegal, 0)::bigint as illegal, coalesce(s0.c, 0)::bigint as cost, coalesce(s0.a, '') as audit, sha256(coalesce(substr(s0.r, 2), '')) as repaired_sha256
+from a left join g on a.conv_id is not distinct from g.conv_id left join f on a.conv_id is not distinct from f.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op7_warc": _WARC,
     "url_alias_verdicts": _ALIASES,
@@ -136,4 +207,5 @@ ORACLES: dict[str, str] = {
     "op8_quality_rules": _QUALITY,
     "op9_url_filters": _URLS,
     "op10_substring_dedup": _SUBSTRINGS,
+    "op11_conversation_repair": _CONVERSATIONS,
 }

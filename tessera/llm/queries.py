@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters on whole tables."""
+"""The registered queries of the operators, with production parameters on whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language, line_dedup, mixing, quality, repeats, simhash, tokens, urls, warc
+from tessera.llm import conversations, decontaminate, language, line_dedup, mixing, quality, repeats, simhash, tokens, toxicity, urls, warc, whitening
 from tessera.llm.shared import ship
 
 
@@ -77,10 +77,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.sha256_of_kept(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.repair_report(damaged).withColumnRenamed("id", "conv_id")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond 64 bits, which the operator gives as a decimal, is null here."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_mixing, op3_decontamination, op4_simhash, op5_language_id,
-        op6_token_output, op7_warc, op8_quality_rules, op9_url_filters, op10_substring_dedup, url_alias_verdicts,
+        op6_token_output, op7_warc, op8_quality_rules, op9_url_filters, op10_substring_dedup, op11_conversation_repair, op12_whitening, op13_toxicity, url_alias_verdicts,
     )
 }
