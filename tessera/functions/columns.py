@@ -51,7 +51,7 @@ def across(*extra: str) -> WindowSpec:
 
 def positive(value: float, name: str) -> None:
     if value <= 0:
-        raise ValueError(f"{name} must be positive.")
+        raise ValueError(f"{name}: {value} isn't above 0")
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:

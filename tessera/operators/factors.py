@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import require_columns
 from tessera.operators.crosssection import mean_of_available, normalize_components
-from tessera.operators.timeseries import carried, leave_one_out_market, low_volatility, momentum, reversal
+from tessera.operators.moving import add_low_volatility
+from tessera.operators.timeseries import carried, leave_one_out_market, momentum, reversal
 
 #: The signals that the factors take.
 SIGNALS = (
@@ -104,14 +105,14 @@ def price_factors(panel: DataFrame, looks: Lookbacks = Lookbacks(), names: Seque
     one partitioning by asset."""
     out = panel.withColumn("mkt", leave_one_out_market()) if "low_vol" in names else panel
     made = {
-        "momentum": lambda: momentum(looks.momentum, looks.momentum_skip),
-        "reversal": lambda: reversal(looks.reversal),
-        "low_vol": lambda: low_volatility("mkt", "ret", looks.low_vol, looks.low_vol_min),
+        "momentum": lambda p: p.withColumn("momentum", momentum(looks.momentum, looks.momentum_skip)),
+        "reversal": lambda p: p.withColumn("reversal", reversal(looks.reversal)),
+        "low_vol": lambda p: add_low_volatility(p, "low_vol", "mkt", "ret", looks.low_vol, looks.low_vol_min),
     }
     for n in names:
         if n not in made:
             raise ValueError(f"unknown price factor {n!r}; there are {sorted(made)}")
-        out = out.withColumn(n, made[n]())
+        out = made[n](out)
     return out.drop("mkt")
 
 

@@ -30,7 +30,7 @@ def bars(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     """(asset_id, date, price, dollar_volume). The scan reads four columns; sums combine map-side. Amounts
     are summed in whole cents, so a bar doesn't depend on the order in which partitions are added up."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id"), F.date_trunc(unit, "l_shipdate").cast("date").alias("date"))
-    sums = rows.agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100.0).alias("dollar_volume"), F.sum("l_quantity").alias("q"))
+    sums = rows.agg((F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5)) / 100.0).alias("dollar_volume"), F.sum("l_quantity").alias("q"))
     return sums.select("asset_id", "date", (F.col("dollar_volume") / F.when(F.col("q") != 0, F.col("q"))).alias("price"), "dollar_volume")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import require_rows
 from tessera.functions.stages import stage
-from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, qc, ridge, timeseries, universe
+from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, moving, qc, ridge, timeseries, universe
 from tessera.operators.grid import align_factors_left
 from tessera.plans.settings import Settings, check
 from tessera.sources import market, signals
@@ -90,7 +90,7 @@ def scored_panel(clean: DataFrame, inputs: Inputs, settings: Settings, signal_ro
         panel = panel.join(F.broadcast(inputs.sectors), "asset_id", "left")
     if settings.neutralization_mode == "market":
         panel = panel.join(F.broadcast(usable_market(inputs.market, panel)), "date", "left")  # a row a date
-        panel = panel.withColumn("beta", timeseries.rolling_beta("mkt", "ret", settings.beta_lookback, settings.beta_min))
+        panel = moving.add_rolling_beta(panel, "beta", "mkt", "ret", settings.beta_lookback, settings.beta_min)
     panel = crosssection.neutralize(panel, names, settings.neutralization_mode)
     panel = crosssection.standardize(panel, names)
     return panel.withColumn("composite", crosssection.equal_weight(settings.price_factors, settings.fundamental_factors))

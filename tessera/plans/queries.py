@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import across
-from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, grid, qc, ridge, timeseries, universe
+from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, grid, moving, qc, ridge, timeseries, universe
 from tessera.operators.grid import align_factors_left, renumber
 from tessera.plans import demo, pipeline, protocol
 from tessera.plans.pipeline import Inputs
@@ -110,7 +110,7 @@ def low_vol(s, d):
 
 
 def adv(s, d):
-    return cells(demo.grid(s, d).withColumn("adv", timeseries.average_dollar_volume(3)), "adv")
+    return cells(moving.add_average_dollar_volume(demo.grid(s, d), "adv", 3), "adv")
 
 
 def terminal_missing(s, d):
@@ -161,7 +161,7 @@ def sector_neutral(s, d):
 
 
 def _with_beta(s, d) -> DataFrame:
-    return _scored(s, d).withColumn("mkt", F.avg("ret").over(across())).withColumn("beta", timeseries.rolling_beta("mkt", "ret", 12, 6))
+    return moving.add_rolling_beta(_scored(s, d).withColumn("mkt", F.avg("ret").over(across())), "beta", "mkt", "ret", 12, 6)
 
 
 def rolling_beta(s, d):
