@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import finite
+from tessera.functions.stages import stage
 from tessera.operators.cleaning import simple_return
+from tessera.operators.quantiles import exact_quantiles
 
 
 def price_summary(panel: DataFrame, scope: str, price: str = "price") -> DataFrame:
-    """One row: observed prices, and the least, largest and outer quantiles of finite returns."""
-    made = panel.withColumn("__r", finite(simple_return(price)))
-    q = F.percentile("__r", F.array(F.lit(0.01), F.lit(0.99), F.lit(0.999)))
-    out = made.agg(F.count(price).alias("n_observed_prices"), F.min("__r").alias("ret_min"), q.alias("q"), F.max("__r").alias("ret_max"))
-    return out.select(
-        F.lit(scope).alias("scope"), "n_observed_prices", "ret_min", F.get("q", F.lit(0)).alias("ret_p01"), F.get("q", F.lit(1)).alias("ret_p99"), F.get("q", F.lit(2)).alias("ret_p999"), "ret_max"
+    """One row: observed prices, and the least, largest and outer quantiles of finite returns. The quantiles are exact at any
+    size (operators/quantiles.py); returns are written once, as two narrow columns."""
+    made = stage(panel.select(F.col(price).isNotNull().alias("has"), finite(simple_return(price)).alias("r")), "returns")
+    made = made.withColumn("scope", F.lit(scope))
+    q = exact_quantiles(made, "r", (0.01, 0.99, 0.999), "scope")
+    out = made.agg(F.lit(scope).alias("scope"), F.count_if("has").alias("n_observed_prices"), F.min("r").alias("ret_min"), F.max("r").alias("ret_max"))
+    return out.join(F.broadcast(q), "scope", "left").select(
+        "scope", "n_observed_prices", "ret_min", F.get("q", F.lit(0)).alias("ret_p01"), F.get("q", F.lit(1)).alias("ret_p99"), F.get("q", F.lit(2)).alias("ret_p999"), "ret_max"
     )
 
 
@@ -38,17 +42,24 @@ def melt_factors(panel: DataFrame, factors: Sequence[str], *keep: str) -> DataFr
 
 def factor_summary(panel: DataFrame, factors: Sequence[str], base: str | None = None) -> DataFrame:
     """A row a factor, by name: the share of base cells with a value, the medians of that share over dates
-    and over assets, and the outer quantiles of values. Cells out of base don't count; without any all is NULL."""
+    and over assets, and the outer quantiles of values, all exact at any size. Cells out of base don't count; without any all is NULL."""
     cells = panel.withColumn("__base", F.lit(True) if base is None else F.coalesce(F.col(base), F.lit(False)))
-    long = melt_factors(cells.select("asset_id", "date", "t", "__base", *factors), factors, "__base")
+    long = stage(melt_factors(cells.select("asset_id", "date", "t", "__base", *factors), factors, "__base").drop("t"), "factor-cells")
     has = (F.col("__base") & F.col("value").isNotNull()).cast("long")
     n = F.sum(F.col("__base").cast("long"))
     share = F.sum(has) / F.when(n > 0, n)
-    by = lambda key, name: long.groupBy("factor", key).agg(share.alias("s")).groupBy("factor").agg(F.percentile("s", F.lit(0.5)).alias(name))
-    seen = F.when(F.col("__base"), finite("value"))
-    whole = long.groupBy("factor").agg(share.alias("non_null_frac"), F.percentile(seen, F.lit(0.01)).alias("value_p01"), F.percentile(seen, F.lit(0.99)).alias("value_p99"))
-    out = whole.join(by("date", "date_coverage_p50"), "factor").join(by("asset_id", "stock_coverage_p50"), "factor")
-    return out.select("factor", "non_null_frac", "date_coverage_p50", "stock_coverage_p50", "value_p01", "value_p99").orderBy("factor")
+    at = lambda k: F.get("q", F.lit(k))
+
+    def by(key: str, name: str) -> DataFrame:
+        shares = stage(long.groupBy("factor", key).agg(share.alias("s")), f"coverage-{key}")
+        return exact_quantiles(shares, "s", (0.5,), "factor").select("factor", at(0).alias(name))
+
+    seen = long.select("factor", F.when(F.col("__base"), finite("value")).alias("v"))
+    outer = exact_quantiles(seen, "v", (0.01, 0.99), "factor").select("factor", at(0).alias("value_p01"), at(1).alias("value_p99"))
+    whole = long.groupBy("factor").agg(share.alias("non_null_frac"))
+    for part in (by("date", "date_coverage_p50"), by("asset_id", "stock_coverage_p50"), outer):  # a row a factor
+        whole = whole.join(F.broadcast(part), "factor", "left")
+    return whole.select("factor", "non_null_frac", "date_coverage_p50", "stock_coverage_p50", "value_p01", "value_p99").orderBy("factor")
 
 
 def display_tables(raw: DataFrame, tradable: DataFrame, summary: DataFrame, removed: DataFrame) -> dict[str, DataFrame]:
