@@ -23,12 +23,15 @@ def _folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, by: str | None = None, dealt: bool = False) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back. Later plans start from the table: nothing is computed twice,
     plans stay small enough to be analysed quickly, and a lost executor costs a reread.
 
     by: rows are dealt to as many buckets as there are shuffle partitions by this column, so that windows, aggregates and joins
-    by it need no exchange when they read the table. unstage() or release_stages() delete a table."""
+    by it need no exchange when they read the table. dealt: the last steps of `df` are windows or joins by that column already, so
+    its tasks write their own buckets; otherwise rows are dealt out first. So that joins by this and further columns
+    (asset and date) keep the dealing, the session's spark.sql.requireAllClusterKeysForCoPartition is set to false.
+    unstage() or release_stages() delete a table."""
     spark = df.sparkSession
     table = f"{name}-{uuid.uuid4().hex[:12]}".replace("-", "_")
     path = f"{_folder(spark)}/tessera/{spark.sparkContext.applicationId}/{table}"
@@ -37,13 +40,19 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         out = spark.read.schema(df.schema).parquet(path)
     else:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.repartition(n, by).write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(table)
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        (df if dealt else df.repartition(n, by)).write.format("parquet").bucketBy(n, by).option("path", path).saveAsTable(table)
         out = spark.table(table)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append((path, table if by else ""))
     out._tessera_stage = path
     return out
 
 
+def is_stage(df: DataFrame) -> bool:
+    """Whether `df` is a table just as stage() wrote it."""
+    return getattr(df, "_tessera_stage", None) is not None
+
+
 def _delete(spark: SparkSession, path: str, table: str) -> None:
     if table:
         spark.sql(f"drop table if exists {table}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import require_columns
 from tessera.operators.crosssection import mean_of_available, normalize_components
 from tessera.operators.moving import add_low_volatility
-from tessera.operators.timeseries import carried, leave_one_out_market, momentum, reversal
+from tessera.operators.timeseries import add_leave_one_out_market, carried, momentum, reversal
 
 #: The signals that the factors take.
 SIGNALS = (
@@ -101,9 +101,9 @@ def invest(panel: DataFrame) -> DataFrame:
 
 
 def price_factors(panel: DataFrame, looks: Lookbacks = Lookbacks(), names: Sequence[str] = PRICE_FACTORS) -> DataFrame:
-    """The panel (with ret) with price factors. The market of low_vol is the only step by date; the rest share
-    one partitioning by asset."""
-    out = panel.withColumn("mkt", leave_one_out_market()) if "low_vol" in names else panel
+    """The panel (with ret) with price factors. All share one partitioning by asset; the market of low_vol is
+    an aggregate of a row a date."""
+    out = add_leave_one_out_market(panel) if "low_vol" in names else panel
     made = {
         "momentum": lambda p: p.withColumn("momentum", momentum(looks.momentum, looks.momentum_skip)),
         "reversal": lambda p: p.withColumn("reversal", reversal(looks.reversal)),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.stages import stage
+
 
 def calendar(rows: DataFrame, date_col: str = "date") -> DataFrame:
     """(date, t): the distinct dates, numbered from 1. The window is over one row a date."""
@@ -14,19 +16,19 @@ def calendar(rows: DataFrame, date_col: str = "date") -> DataFrame:
 def dense_grid(rows: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """Every asset of `rows` at every date of the calendar, with the values of `rows` or NULL.
 
-    The calendar goes along with each asset as one array (its size is the number of
-    dates), so the grid is made by a generator per asset and not by a cartesian
-    product. Its cells and the rows are put together, dealt out by asset, and merged by an aggregate that keeps
-    this partitioning, which is the one that the window operators need: one exchange. Of rows that
-    share a cell the filled values count, any one of several; rows at dates that the calendar lacks go."""
+    The rows are written once, dealt out by asset: the only exchange of rows; calendar, assets and values read that table.
+    The calendar goes along with each asset as one array (its size is the number of dates), so the grid is made by a generator per
+    asset and not by a cartesian product, and joined with the rows where they lie, by the partitioning that the
+    window operators need. Of rows that share a cell the filled values count, any one of several; rows at dates that
+    the calendar lacks go."""
+    rows = stage(rows, "rows", by="asset_id")
     dates = calendar(rows) if dates is None else dates
     spots = dates.agg(F.sort_array(F.collect_list(F.struct("t", "date"))).alias("spots"))
     assets = rows.select("asset_id").distinct().crossJoin(F.broadcast(spots))
     full = assets.select("asset_id", F.explode("spots").alias("s")).select("asset_id", F.col("s.date").alias("date"), F.col("s.t").alias("t"))
     values = [c for c in rows.columns if c not in ("asset_id", "date", "t")]
-    both = full.unionByName(rows.drop("t"), allowMissingColumns=True).repartition("asset_id")
-    merged = both.groupBy("asset_id", "date").agg(F.max("t").alias("t"), *[F.first(c, ignorenulls=True).alias(c) for c in values])
-    return merged.where("t is not null")
+    filled = rows.groupBy("asset_id", "date").agg(*[F.first(c, ignorenulls=True).alias(c) for c in values]) if values else rows.select("asset_id", "date").distinct()
+    return full.hint("merge").join(filled, ["asset_id", "date"], "left")
 
 
 def renumber(panel: DataFrame) -> DataFrame:

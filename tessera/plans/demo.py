@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.stages import stage
 from tessera.operators import cleaning, factors, timeseries
 from tessera.operators.cleaning import CleaningRules
 from tessera.operators.grid import dense_grid
@@ -77,12 +78,12 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(late)
 
 
-def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signal_rows(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
     """The thirteen signals at the grid's dates, from the statements as known then."""
     from tessera.sources import signals
     from tessera.sources.market import publish_aligned
 
-    known = publish_aligned(statements(spark, sf_dir), 1, "keep_last")
+    known = publish_aligned(stage(statements(spark, sf_dir), "statements", by="asset_id"), 1, "keep_last")
     known = known.withColumn("equity", F.col("total_assets") - F.col("total_debt")).withColumn("free_cash_flow", F.col("operating_income") * 0.8).withColumn("dividends_paid", F.col("net_income") * 0.3)
-    market = grid(spark, sf_dir).select("asset_id", "date", F.col("price").alias("close"))
+    market = (grid(spark, sf_dir) if cells is None else cells).select("asset_id", "date", F.col("price").alias("close"))
     return signals.signals(market, {"income_ttm": known, "balance_quarterly": known, "cashflow_ttm": known})

@@ -79,15 +79,16 @@ def scored_panel(clean: DataFrame, inputs: Inputs, settings: Settings, signal_ro
     alive = clean.select("asset_id").distinct()
     if signal_rows is None:
         signal_rows = signals.signals(inputs.rows.join(alive, "asset_id", "left_semi"), inputs.statements)
-    daily = stage(factors.daily_signals(signal_rows, with_ret, settings.lookbacks.signal_fill), "signals")
-    funded = stage(factors.fundamental_factors(daily, settings.fundamental_factors), "fundamental-factors")
-    made = stage(priced.select("asset_id", "date", "t", *settings.price_factors), "price-factors").join(funded.drop("t"), ["asset_id", "date"])
+    daily = stage(factors.daily_signals(signal_rows, with_ret, settings.lookbacks.signal_fill), "signals", by="asset_id", dealt=True)
+    funded = stage(factors.fundamental_factors(daily, settings.fundamental_factors), "fundamental-factors", by="asset_id")
+    priced = stage(priced.select("asset_id", "date", "t", *settings.price_factors), "price-factors", by="asset_id", dealt=True)
+    made = priced.hint("merge").join(funded.drop("t"), ["asset_id", "date"])
     panel = align_factors_left(made, returns.select("asset_id", "date", "t", "price", "dollar_volume", "quality_ok", "ret", "fwd_ret"))
-    panel = crosssection.winsorize(stage(panel, "factors"), names)
+    panel = crosssection.winsorize(stage(panel, "factors", by="asset_id", dealt=True), names)
     if settings.neutralization_mode == "sector":
         if inputs.sectors is None:
             raise ValueError("sector neutralization needs sectors")
-        panel = panel.join(F.broadcast(inputs.sectors), "asset_id", "left")
+        panel = panel.join(inputs.sectors, "asset_id", "left")  # broadcast where Spark knows it to be small, else without an exchange of the panel
     if settings.neutralization_mode == "market":
         panel = panel.join(F.broadcast(usable_market(inputs.market, panel)), "date", "left")  # a row a date
         panel = moving.add_rolling_beta(panel, "beta", "mkt", "ret", settings.beta_lookback, settings.beta_min)
@@ -112,15 +113,15 @@ def usable_market(found: DataFrame | None, panel: DataFrame) -> DataFrame:
 
 
 def run_core(inputs: Inputs, settings: Settings, signal_rows: DataFrame | None = None, grid: DataFrame | None = None) -> Core:
-    """Clean, score and mask. The clean panel, the factors and the scored panel are written, since several results read them."""
+    """Clean, score and mask. The clean panel, the factors and the scored panel are written, since several results read them, and dealt
+    by asset, so that no window or join by asset after the clean panel needs an exchange of its own."""
     check(settings)
     grid = market.price_panel(inputs.rows) if grid is None else grid
     clean = cleaning.clean_panel(
         grid, settings.cleaning, settings.min_assets_per_date, settings.quality_lookback, settings.quality_max_hard_events, settings.quality_min_coverage
     )
-    clean.prices, clean.raw, clean.summary = stage(clean.prices, "clean"), stage(clean.raw, "raw"), stage(clean.summary, "clean-summary")
     require_rows(clean.prices, f"cleaning leaves no price (dates need {settings.min_assets_per_date} assets)")
-    panel = stage(scored_panel(clean.prices, inputs, settings, signal_rows), "scored")
+    panel = stage(scored_panel(clean.prices, inputs, settings, signal_rows), "scored", by="asset_id")
     score = settings.output_factor
     if score == "ridge":
         found = ridge.ridge_scores(panel, panel, panel, settings.rebalance_freq, settings.factors, settings.ridge_alpha, settings.ridge)
@@ -129,8 +130,8 @@ def run_core(inputs: Inputs, settings: Settings, signal_rows: DataFrame | None =
         raise ValueError(f"unknown output_factor {score!r}")
     panel = panel.withColumn("score", F.col(score)).withColumn("required_ok", F.col("score").isNotNull())
     cells = universe.universe(panel, settings.universe_max_assets, settings.adv_lookback, settings.min_prev_close)
-    cells = stage(cells, "universe")
-    masked = stage(universe.tradable(cells, "score", [*settings.factors, "composite"]), "tradable")
+    cells = stage(cells, "universe", by="asset_id")
+    masked = universe.tradable(cells, "score", [*settings.factors, "composite"])
     tradable_prices = masked.withColumn("price", F.when(F.col("tradable"), F.col("price")))
     price_qc = qc.price_summary(clean.raw, "raw_daily").unionByName(qc.price_summary(tradable_prices, "tradable_daily"))
     return Core(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import across
+from tessera.functions.stages import stage
 from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, grid, moving, qc, ridge, timeseries, universe
 from tessera.operators.grid import align_factors_left, renumber
 from tessera.plans import demo, pipeline, protocol
@@ -241,7 +242,8 @@ def signals_all(s, d):
 
 
 def _styles(s, d) -> DataFrame:
-    return factors.daily_signals(demo.signal_rows(s, d), demo.grid(s, d), 12)
+    cells = stage(demo.grid(s, d), "grid", by="asset_id", dealt=True)
+    return stage(factors.daily_signals(demo.signal_rows(s, d, cells), cells, 12), "signals", by="asset_id", dealt=True)
 
 
 def value_factor(s, d):
@@ -392,7 +394,8 @@ def ridge_alpha_table(s, d):
 
 
 def _core(s, d):
-    return pipeline.run_core(Inputs(demo.bars(s, d), {}), demo.SETTINGS, demo.signal_rows(s, d), demo.grid(s, d))
+    cells = stage(demo.grid(s, d), "grid", by="asset_id", dealt=True)
+    return pipeline.run_core(Inputs(cells.where("price is not null"), {}), demo.SETTINGS, demo.signal_rows(s, d, cells), cells)
 
 
 def research_core(s, d):

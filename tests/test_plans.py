@@ -1,8 +1,14 @@
+import os
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera.functions import stages
+from tessera.functions.stages import stage
+from tessera.operators import grid
 from tessera.plans import demo, pipeline, protocol
 from tessera.plans.oracles import ORACLES
 from tessera.plans.queries import QUERIES
@@ -87,3 +93,38 @@ def test_selected_scores(spark, sf_dir):
     assert ew.count() > 0
     with pytest.raises(ValueError):
         protocol.selected_scores(panel, PRICED, "ridge", "all", "1996-01-01", "1998-12-31", "QE", "1999-01-01")
+
+
+def test_no_exchange_by_asset_after_the_clean_panel(spark, sf_dir, monkeypatch):
+    """From the clean panel on, windows and joins by asset read stages that are dealt by asset; dates come as aggregates, or by one exchange."""
+    seen = {}
+
+    def recording(df, name, *args, **kwargs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen[name] = re.findall(r"Exchange hashpartitioning\((asset_id#[^)]*)\)", plan)
+        return stage(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(pipeline, "stage", recording)
+    QUERIES["research_core"](spark, sf_dir)
+    assert {"price-factors", "fundamental-factors", "factors", "scored", "universe"} <= set(seen)
+    assert {name: found for name, found in seen.items() if found and name != "signals"} == {}
+    assert len(seen["signals"]) == 1  # statements and market rows meet by asset
+
+
+def test_the_grid_reads_its_rows_once(spark, sf_dir, monkeypatch):
+    written = []
+    monkeypatch.setattr(grid, "stage", lambda df, *a, **k: written.append(df) or stage(df, *a, **k))
+    plan = demo.grid(spark, sf_dir, "week")._jdf.queryExecution().executedPlan().toString()
+    assert len(written) == 1 and "lineitem" not in plan and "hashpartitioning(asset_id" not in plan
+
+
+def test_stages_are_deleted(spark, tmp_path):
+    df = spark.range(10).withColumnRenamed("id", "asset_id")
+    plain, dealt = stage(df, "plain"), stage(df, "dealt-out", by="asset_id")
+    assert plain.count() == dealt.count() == 10 and stages.is_stage(dealt) and not stages.is_stage(df)
+    folders = [plain._tessera_stage, dealt._tessera_stage]
+    assert all(os.path.isdir(f) for f in folders)
+    stages.unstage(plain)
+    assert not os.path.exists(folders[0])
+    assert stages.release_stages(spark) >= 1 and not os.path.exists(folders[1])
+    assert stages.release_stages(spark) == 0
