@@ -284,7 +284,52 @@ PARTS |= _ridge((0.1, 10.0, 1000.0))
 PARTS["ric"] = _ic("(select * from rpred where date < '2000-01-01')", "alpha, date")
 
 
+# the whole run: two cleaning passes of the monthly panel, seven factors, composite, universe, evaluation
+_SEVEN = [*PRICED, "value", "quality", "invest", "growth"]
+_PART_NAMES = [*_SIGNALS[:6], "low_debt", *_SIGNALS[7:11]]
+_THERE = lambda names: " + ".join(f"({n} is not null)::int" for n in names)
+_TOTAL = lambda names: " + ".join(f"coalesce({n}, 0)" for n in names)
+PARTS |= {
+    "rc1": "select asset_id, date, price, dollar_volume from clean_m where asset_id in (select asset_id from clean_m where price is not null)",
+    "rc_cal": "select date, row_number() over (order by date) as t from (select date from rc1 group by date having count(price) >= 5)",
+    "rc2": "select p.asset_id, p.date, c.t, p.price, p.dollar_volume, p.price / lag(p.price) over (partition by asset_id order by c.t) - 1 as r from rc1 p join rc_cal c on p.date = c.date",
+    "rc3": "select asset_id, date, t, dollar_volume, coalesce(r >= 10 or r < -1, false) as hard, case when not coalesce(r >= 10 or r < -1, false) then price end as price from rc2",
+    "rc4": """select *, coalesce(count(*) over w = 12 and avg((price is not null)::int) over w >= 0.95 and sum(hard::int) over w <= 3, false) as quality_ok, count(price) over (partition by asset_id) as n_prices
+        from rc3 window w as (partition by asset_id order by t rows between 12 preceding and 1 preceding)""",
+    "rc": """select asset_id, date, t, price, dollar_volume, quality_ok, price / lag(price) over w - 1 as ret, lead(price) over w / price - 1 as fwd_ret
+        from rc4 where n_prices > 0 window w as (partition by asset_id order by t)""",
+    "rc_mkt": "select *, (sum(ret) over (partition by date) - ret) / nullif(count(ret) over (partition by date) - 1, 0) as mkt from rc",
+    "rc_xy": "select *, case when mkt is not null then ret end as y, case when ret is not null then mkt end as x from rc_mkt",
+    "rc_price": f"""select asset_id, date, {_compound(11, 1)} as momentum, -({_compound(3)}) as reversal,
+        case when count(y) over w >= 12 and var_pop(x) over w > 0 then -sqrt(greatest(0, var_pop(y) over w - pow(covar_pop(y, x) over w, 2) / (var_pop(x) over w))) end as low_vol
+        from rc_xy window w as (partition by asset_id order by t rows between 11 preceding and current row)""",
+    "rc_daily": "select r.asset_id, r.date, r.t, " + ", ".join(
+        f"last_value({n} ignore nulls) over (partition by r.asset_id order by r.t rows between 12 preceding and current row) as {n}" for n in _SIGNALS
+    ) + " from rc r left join sig s on r.asset_id = s.asset_id and r.date = s.date",
+    "rc_parts": _standardized(f"({_winsorized('(select *, -debt_ratio as low_debt from rc_daily)', _PART_NAMES, keep='asset_id, date, t, assets_growth')})", _PART_NAMES, keep="asset_id, date, t, assets_growth"),
+    "rc_fund": f"""select asset_id, date, {_style(_SIGNALS[:4], 2)} as value, {_style(['roa', 'gross_profit_margin', 'asset_turnover', 'low_debt'], 3)} as quality, -assets_growth as invest,
+        {_style(['sales_growth', 'operating_income_growth', 'earnings_growth'], 2)} as growth from rc_parts""",
+    "rc_all": f"""select r.*, {', '.join(f'p.{n}' for n in PRICED)}, {', '.join(f'f.{n}' for n in _SEVEN[3:])} from rc r
+        left join rc_price p on r.asset_id = p.asset_id and r.date = p.date left join rc_fund f on r.asset_id = f.asset_id and r.date = f.date
+        where r.date in (select date from rc where fwd_ret is not null)""",
+    "rc_wins": _winsorized("rc_all", _SEVEN, keep="asset_id, date, t, price, dollar_volume, quality_ok, fwd_ret"),
+    "rc_std": _standardized("rc_wins", _SEVEN, keep="asset_id, date, t, price, dollar_volume, quality_ok, fwd_ret"),
+    "rc_score": f"""select *, case when momentum is not null and {_THERE(_SEVEN)} >= 5 and {_THERE(PRICED)} >= 2 and {_THERE(_SEVEN[3:])} >= 2 then ({_TOTAL(_SEVEN)}) / ({_THERE(_SEVEN)}) end as composite from rc_std""",
+    "rc_uni": """select *, coalesce(price is not null and adv is not null and floor_ok and quality_ok and composite is not null, false) as complete from (
+        select *, case when count(dollar_volume) over w = 3 then avg(dollar_volume) over w end as adv, coalesce(lag(price) over (partition by asset_id order by t) >= 1, false) as floor_ok
+        from rc_score window w as (partition by asset_id order by t rows between 3 preceding and 1 preceding))""",
+    "rc_core": "select *, complete and row_number() over (partition by date, complete order by adv desc, asset_id) <= 60 as tradable from rc_uni",
+    "rc_panel": "select asset_id, date, t, price, fwd_ret, case when tradable then composite end as score from rc_core",
+    "rc_per": _period("(select asset_id, date, t, price from rc_panel)"),
+    "rc_ic": _ic("(select p.asset_id, p.date, p.score, n.fwd_ret from rc_panel p join rc_per n on p.asset_id = n.asset_id and p.date = n.date)", "date"),
+    "rc_st": _stats("rc_ic"),
+}
+PARTS |= _backtest("u", "(select 1 as k1, * from rc_panel)", "k1", 0.001, 0.03)
+
+
 _QUERIES: dict[str, str] = {
+    "research_core": f"select asset_id, date, round(composite, 6) + 0.0 as score, {r6('fwd_ret')} from rc_core where tradable",
+    "research_run": f"select {r6('mean_ic', 't_newey_west')}, n_obs, {r6('annual_vol', 'sharpe', 'max_drawdown')} from rc_st cross join uperf",
     "bars_month": cells("bars_m", "price", "dollar_volume"),
     "bars_week": cells("bars_w", "price", "dollar_volume"),
     "dense_panel": f"select asset_id, date, t, {r6('price')} from grid_w",
