@@ -76,16 +76,17 @@ def require_unique(names: Iterable[str], label: str) -> None:
         raise ValueError(f"{label}: columns come twice: {twice}")
 
 
+def _total(terms: list[Column], none: Column) -> Column:
+    """The sum of the terms as a balanced tree, so that hundreds of them are no deep expression."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + (terms[-1:] if len(terms) % 2 else [])
+    return terms[0] if terms else none
+
+
 def count_non_null(names: Iterable[str]) -> Column:
     """How many of the columns are not NULL in a row."""
-    total = F.lit(0)
-    for n in names:
-        total = total + F.col(n).isNotNull().cast("int")
-    return total
+    return _total([F.col(n).isNotNull().cast("int") for n in names], F.lit(0))
 
 
 def sum_or_zero(names: Iterable[str]) -> Column:
-    total = F.lit(0.0)
-    for n in names:
-        total = total + F.coalesce(F.col(n), F.lit(0.0))
-    return total
+    return _total([F.coalesce(F.col(n), F.lit(0.0)) for n in names], F.lit(0.0))

@@ -6,6 +6,8 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from tessera.functions.stages import release_stages
+from tessera.operators.qc import display_tables
 from tessera.plans.pipeline import run, summary
 from tessera.plans.settings import Settings
 from tessera.sources.market import Source
@@ -20,7 +22,13 @@ def main(args: list[str] | None = None) -> None:
     result = run(spark, Source(given.folder, given.format), Settings())
     for name, value in summary(result).items():
         print(f"{name}: {value}")
-    result.core.factor_qc.show(truncate=False)
+    core = result.core
+    raw, tradable = (core.price_qc.where(f"scope = '{scope}'") for scope in ("raw_daily", "tradable_daily"))
+    for name, view in display_tables(raw, tradable, core.clean.summary, core.removed).items():
+        print(name)
+        view.show(truncate=False)
+    core.factor_qc.show(truncate=False)
+    release_stages(spark)
 
 
 if __name__ == "__main__":

@@ -323,11 +323,17 @@ PARTS |= {
     "rc_per": _period("(select asset_id, date, t, price from rc_panel)"),
     "rc_ic": _ic("(select p.asset_id, p.date, p.score, n.fwd_ret from rc_panel p join rc_per n on p.asset_id = n.asset_id and p.date = n.date)", "date"),
     "rc_st": _stats("rc_ic"),
+    "rc_bars": _ic("rc_panel", "date"),
+    "qc_before": "select 'raw' as scope, price, r from raw_w",
+    "qc_after": "select 'tradable' as scope, price, ret as r from ret_w",
+    "qc_prices": "select scope, count(price)::double as observed_prices, min(r) as ret_min, quantile_cont(r, 0.01) as ret_p01, quantile_cont(r, 0.99) as ret_p99, quantile_cont(r, 0.999) as ret_p999, max(r) as ret_max from (select * from qc_before union all select * from qc_after) group by scope",
+    "qc_gone": "select count(*) filter (hard)::double as removed_prices, count(distinct case when hard then asset_id end)::double as assets_affected, count(*) filter (hard) / count(price) as removed_frac from hard_w",
 }
 PARTS |= _backtest("u", "(select 1 as k1, * from rc_panel)", "k1", 0.001, 0.03)
 
 
 _QUERIES: dict[str, str] = {
+    "sql_over_views": f"select date, {r6('ic')}, n from rc_bars",
     "research_core": f"select asset_id, date, round(composite, 6) + 0.0 as score, {r6('fwd_ret')} from rc_core where tradable",
     "research_run": f"select {r6('mean_ic', 't_newey_west')}, n_obs, {r6('annual_vol', 'sharpe', 'max_drawdown')} from rc_st cross join uperf",
     "bars_month": cells("bars_m", "price", "dollar_volume"),
@@ -432,6 +438,12 @@ ORACLES["clean_summary"] = _inner(
         select count(*) as n_classify_candidates, count(*) filter (spike) as n_spike_reversal, count(*) filter (shift) as n_persistent_shift, count(*) filter (stale) as n_stale_jump,
         count(*) filter (spike or shift or stale) as n_suspect_events, count(distinct case when spike or shift or stale then asset_id end) as n_assets_with_any_suspect_event from g where candidate"""
 )
+_TAILS = ["ret_min", "ret_p01", "ret_p99", "ret_p999", "ret_max"]
+ORACLES["qc_display"] = f"""
+select * from ({sql("select 'overview' as view, scope, 'observed_prices' as name, observed_prices as value from qc_prices")})
+union all select 'tails', scope, unnest({_TAILS}), round(unnest([{', '.join(_TAILS)}]), 6) + 0.0 from ({sql('select * from qc_prices')})
+union all select 'cleaning_impact', null, unnest(['removed_prices', 'assets_affected', 'removed_frac']), round(unnest([removed_prices, assets_affected, removed_frac]), 6) + 0.0 from ({sql('select * from qc_gone')})
+union all select 'suspect_event_qa', null, name, value::double from (unpivot ({ORACLES['clean_summary']}) on columns(*) into name name value value)"""
 ORACLES["business_days"] = sql(
     "select date, " + ", ".join(f"list_filter([date + i::int for i in range(1, 15)], lambda y: isodow(y) <= 5)[{n}]::date as plus_{n}" for n in (1, 2, 7))
     + " from (select distinct date from bars_d)"

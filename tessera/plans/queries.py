@@ -11,7 +11,7 @@ from tessera.functions.columns import across
 from tessera.functions.stages import stage
 from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, grid, moving, qc, ridge, timeseries, universe
 from tessera.operators.grid import align_factors_left, renumber
-from tessera.plans import demo, pipeline, protocol
+from tessera.plans import demo, pipeline, protocol, views
 from tessera.plans.pipeline import Inputs
 from tessera.sources import market, signals
 from tessera.streaming.bars import bars as tumbling_bars
@@ -351,6 +351,25 @@ def factor_qc(s, d):
     return out.select("factor", *[r6(c) for c in out.columns if c != "factor"])
 
 
+def qc_display(s, d):
+    """The four display tables of a cleaning, as rows (view, scope, name, value)."""
+    before = stage(demo.grid(s, d, "week"), "grid", by="asset_id", dealt=True)
+    flagged = stage(cleaning.clean_prices(before, demo.RULES), "clean", by="asset_id", dealt=True)
+    after = flagged.select("asset_id", "date", "t", "price")
+    views = qc.display_tables(qc.price_summary(before, "raw"), qc.price_summary(after, "tradable"), cleaning.cleaning_summary(flagged), qc.removed_prices(before, after))
+    made = None
+    for view, table in views.items():
+        if view == "suspect_event_qa":
+            rows = table.select(F.lit(None).cast("string").alias("scope"), F.col("metric").alias("name"), F.col("value").cast("double").alias("value"))
+        else:
+            keep = table if "scope" in table.columns else table.withColumn("scope", F.lit(None).cast("string"))
+            names = [c for c in keep.columns if c != "scope"]
+            rows = keep.select("scope", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["scope"], names, "name", "value")
+        rows = rows.select(F.lit(view).alias("view"), "scope", "name", r6("value"))
+        made = rows if made is None else made.unionByName(rows)
+    return made
+
+
 def _report(s, d) -> DataFrame:
     return protocol.train_factor_report(_standardized(s, d), PRICED, "1996-01-01", "1999-12-31", "QE", 5)
 
@@ -407,6 +426,17 @@ def research_run(s, d):
     return out.ic_stats.select(r6("mean_ic"), r6("t_newey_west"), "n_obs").crossJoin(out.performance.select(r6("annual_vol"), r6("sharpe"), r6("max_drawdown")))
 
 
+def sql_over_views(s, d):
+    """The run's information coefficient of each date, by SQL over the views of its stages."""
+    views.register(_core(s, d), "demo")
+    ranks = "rank() over (partition by date order by {0}) + (count(*) over (partition by date, {0}) - 1) / 2.0"
+    out = s.sql(f"""
+        select date, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) as ic, count(*) as n
+        from (select date, {ranks.format('score')} as x, {ranks.format('fwd_ret')} as y from demo_tradable where score is not null and fwd_ret is not null)
+        group by date having count(*) >= 5 and stddev_pop(x) * stddev_pop(y) > 0""")
+    return out.select("date", r6("ic"), "n")
+
+
 def event_bars(s, d):
     ticks = demo.table(s, d, "events").select(F.col("user_id").alias("asset_id"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("size"))
     out = tumbling_bars(ticks)
@@ -427,8 +457,8 @@ QUERIES: dict[str, Query] = {
         period_forward_returns, winsorize, zscore, component_mean, sector_map, sector_neutral, rolling_beta, market_neutral, composite_ew, composite_candidate,
         universe_mask, universe_diagnostics, tradable_scores, publish_align, business_days, dedupe_keep_last, asof_signals, daily_signal_ffill, growth_yoy, signals_all,
         value_factor, quality_factor, invest_factor, growth_factor, align_left, align_outer, mask_reindex, ic_momentum, ic_period, ic_stats, ic_acf, ic_coverage, decile_weights,
-        backtest_equity, backtest_summary, performance_stats, price_qc, removed_prices, factor_qc, factor_report, stable_negative_screen, validation_matrix,
-        ridge_moments, ridge_scores, ridge_alpha_table, research_core, research_run, event_bars, renumbered,
+        backtest_equity, backtest_summary, performance_stats, price_qc, removed_prices, factor_qc, qc_display, factor_report, stable_negative_screen, validation_matrix,
+        ridge_moments, ridge_scores, ridge_alpha_table, research_core, research_run, sql_over_views, event_bars, renumbered,
     )
 }
 

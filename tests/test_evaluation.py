@@ -155,3 +155,11 @@ def test_coverage_of_an_empty_base(spark):
     pairs = evaluation.ic_inputs(s, r, "D")
     row = evaluation.ic_coverage(pairs, s.select("asset_id", "date", F.lit(False).alias("base")), 5).first()
     assert row["n_dates_below_min"] == 2 and row["coverage_p10"] is None
+
+
+def test_ic_inputs_without_common_data(spark):
+    s, r = panel(spark, {1: [1.0, 2.0]}, "score"), panel(spark, {2: [1.0, 2.0]}, "fwd_ret")
+    with pytest.raises(ValueError, match="share no asset"):
+        evaluation.ic_inputs(s, r, "D")
+    with pytest.raises(ValueError, match="fewer than two rebalance dates"):
+        evaluation.ic_inputs(s, r, "ME", panel(spark, {1: [1.0, 2.0]}, "price"))

@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 from tessera.functions import stages
 from tessera.functions.stages import stage
 from tessera.operators import grid
-from tessera.plans import demo, pipeline, protocol
+from tessera.operators.cleaning import CleanPanel
+from tessera.plans import demo, pipeline, protocol, views
 from tessera.plans.oracles import ORACLES
 from tessera.plans.queries import QUERIES
 from tessera.plans.settings import Settings, check
@@ -23,7 +24,7 @@ def canon(rows):
     return sorted(tuple(map(show, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["suspect_persistent_shift", "two_pass_clean", "low_vol", "market_neutral", "universe_mask", "asof_signals", "quality_factor", "backtest_equity", "factor_report"])
+@pytest.mark.parametrize("name", ["suspect_persistent_shift", "two_pass_clean", "qc_display", "sql_over_views", "low_vol", "market_neutral", "universe_mask", "asof_signals", "quality_factor", "backtest_equity", "factor_report"])
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -128,3 +129,28 @@ def test_stages_are_deleted(spark, tmp_path):
     assert not os.path.exists(folders[0])
     assert stages.release_stages(spark) >= 1 and not os.path.exists(folders[1])
     assert stages.release_stages(spark) == 0
+
+
+def test_scores_of_the_ridge_protocol(spark, sf_dir):
+    """The ridge branch: factors chosen on the train window, then the tuned ridge of these, cut to the scoring window."""
+    from tessera.operators.ridge import RidgeSettings, tune_ridge
+    from tessera.plans.queries import PRICED, _standardized
+
+    panel = stage(_standardized(spark, sf_dir), "standardized", by="asset_id")
+    arguments = ("rolling", 60)
+    got = protocol.selected_scores(panel, PRICED, "ridge", "all", "1995-06-01", "1998-12-31", "ME", "2001-03-01", "2001-09-01", (1.0, 100.0), 3, *arguments)
+    fit = tune_ridge(panel, panel, panel, "ME", PRICED, "2001-03-01", (1.0, 100.0), RidgeSettings(*arguments, refit_every=3))
+    want = fit.scores.where("date between '2001-03-01' and '2001-09-01'")
+    rows = lambda df: sorted((r["asset_id"], r["date"], r["score"]) for r in df.where("score is not null").collect())
+    assert rows(got) == rows(want) and rows(got)
+
+
+def test_views(spark):
+    df = spark.createDataFrame([(1, 2.0)], "date int, score double")
+    clean = CleanPanel(df, df, df)
+    core = pipeline.Core(df, df, clean, df, df, df, df)
+    names = views.register(core, "mine")
+    assert "mine_tradable" in names and "mine_ic" not in names and spark.sql("select score from mine_tradable").first()[0] == 2.0
+    assert "mine_ic" in views.register(pipeline.Run(core, *[df] * 6), "mine")
+    with pytest.raises(ValueError, match="name of a view"):
+        views.register(core, "no name")
