@@ -11,15 +11,18 @@ from tessera.operators import cleaning, factors, timeseries
 from tessera.operators.cleaning import CleaningRules
 from tessera.operators.grid import dense_grid
 from tessera.operators.ridge import RidgeSettings
-from tessera.plans.settings import Settings
+from tessera.plans.settings import Cleaning, Model, Neutral, Quality, Reading, Settings, Trading, Universe
 
 LOOKS = factors.Lookbacks(momentum=12, momentum_skip=1, reversal=3, low_vol=12, low_vol_min=12, signal_fill=12)
 RULES = CleaningRules(hard_max_return=10.0, classify_min_return=3.0)
 #: Settings that fit monthly bars of some hundred assets.
 SETTINGS = Settings(
-    start_date=None, rebalance_freq="QE", ic_min_assets=5, lookbacks=LOOKS, adv_lookback=3, min_assets_per_date=5, min_prev_close=1.0, universe_max_assets=60,
-    quality_lookback=12, beta_lookback=12, beta_min=6, neutralization_mode="none", fundamental_factors=("value", "quality", "invest", "growth"),
-    ridge=RidgeSettings("rolling", 12, 6, 2, 50), borrow_cost_rate_annual=0.03,
+    reading=Reading(first=None),
+    cleaning=Cleaning(quality=Quality(rows=12), assets_per_date=5),
+    universe=Universe(assets=60, volume_rows=3, price_floor=1.0),
+    neutral=Neutral(beta_rows=12, beta_least=6),
+    model=Model(lookbacks=LOOKS, ridge=RidgeSettings("rolling", 12, 6, 2, 50)),
+    trading=Trading(rebalance="QE", borrow_cost=0.03, assets_for_ic=5),
 )
 
 

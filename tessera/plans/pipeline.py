@@ -11,7 +11,7 @@ from tessera.functions.columns import require_rows
 from tessera.functions.stages import stage
 from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, moving, qc, ridge, timeseries, universe
 from tessera.operators.grid import align_factors_left
-from tessera.plans.settings import Settings, check
+from tessera.plans.settings import Settings
 from tessera.sources import market, signals
 from tessera.sources.market import Source
 
@@ -53,48 +53,47 @@ class Run:
 
 def load(spark: SparkSession, source: Source, settings: Settings) -> Inputs:
     """Everything lazily; what a run doesn't use is never read. No usable company, or no market row of one in the range, is an error."""
-    check(settings)
     companies = source.read(spark, "companies")
     ids = require_rows(market.company_ids(companies), "companies have no usable id")
-    rows = market.market_rows(source, spark, ids, settings.start_date, settings.end_date)
-    require_rows(rows, f"no market row of a company from {settings.start_date} to {settings.end_date}")
-    sets = market.statements(source, spark, ids, settings.publish_shift_business_days)
+    rows = market.market_rows(source, spark, ids, settings.reading.first, settings.reading.last)
+    require_rows(rows, f"no market row of a company from {settings.reading.first} to {settings.reading.last}")
+    sets = market.statements(source, spark, ids, settings.reading.days_to_known)
     sectors = None
-    if settings.neutralization_mode == "sector":
+    if settings.neutral.mode == "sector":
         industries = source.read(spark, "industries") if "sector" not in companies.columns else None
         sectors = market.sector_map(rows.select("asset_id").distinct(), companies, industries)
     proxy = None
-    if "market" in settings.neutralization_mode:
-        proxy = market.proxy_returns(source, spark, settings.market_asset_id, settings.start_date, settings.end_date)
+    if settings.neutral.mode == "market":
+        proxy = market.proxy_returns(source, spark, settings.neutral.market_asset_id, settings.reading.first, settings.reading.last)
     return Inputs(rows, sets, sectors, proxy)
 
 
 def scored_panel(clean: DataFrame, inputs: Inputs, settings: Settings, signal_rows: DataFrame | None = None) -> DataFrame:
     """The clean panel with fwd_ret, standardized factors and composite: windows by asset come first, under
     one partitioning, then those by date."""
-    names = settings.factors
+    names = settings.model.factors
     with_ret = timeseries.add_returns(clean.select("asset_id", "date", "t", "price", "dollar_volume", "quality_ok"))
     returns = timeseries.add_future_returns(with_ret)
-    priced = factors.price_factors(with_ret, settings.lookbacks, settings.price_factors)
+    priced = factors.price_factors(with_ret, settings.model.lookbacks, settings.model.price_factors)
     alive = clean.select("asset_id").distinct()
     if signal_rows is None:
         signal_rows = signals.signals(inputs.rows.join(alive, "asset_id", "left_semi"), inputs.statements)
-    daily = stage(factors.daily_signals(signal_rows, with_ret, settings.lookbacks.signal_fill), "signals", by="asset_id", dealt=True)
-    funded = stage(factors.fundamental_factors(daily, settings.fundamental_factors), "fundamental-factors", by="asset_id")
-    priced = stage(priced.select("asset_id", "date", "t", *settings.price_factors), "price-factors", by="asset_id", dealt=True)
+    daily = stage(factors.daily_signals(signal_rows, with_ret, settings.model.lookbacks.signal_fill), "signals", by="asset_id", dealt=True)
+    funded = stage(factors.fundamental_factors(daily, settings.model.fundamental_factors), "fundamental-factors", by="asset_id")
+    priced = stage(priced.select("asset_id", "date", "t", *settings.model.price_factors), "price-factors", by="asset_id", dealt=True)
     made = priced.hint("merge").join(funded.drop("t"), ["asset_id", "date"])
     panel = align_factors_left(made, returns.select("asset_id", "date", "t", "price", "dollar_volume", "quality_ok", "ret", "fwd_ret"))
     panel = crosssection.winsorize(stage(panel, "factors", by="asset_id", dealt=True), names)
-    if settings.neutralization_mode == "sector":
+    if settings.neutral.mode == "sector":
         if inputs.sectors is None:
             raise ValueError("sector neutralization needs sectors")
         panel = panel.join(inputs.sectors, "asset_id", "left")  # broadcast where Spark knows it to be small, else without an exchange of the panel
-    if settings.neutralization_mode == "market":
+    if settings.neutral.mode == "market":
         panel = panel.join(F.broadcast(usable_market(inputs.market, panel)), "date", "left")  # a row a date
-        panel = moving.add_rolling_beta(panel, "beta", "mkt", "ret", settings.beta_lookback, settings.beta_min)
-    panel = crosssection.neutralize(panel, names, settings.neutralization_mode)
+        panel = moving.add_rolling_beta(panel, "beta", "mkt", "ret", settings.neutral.beta_rows, settings.neutral.beta_least)
+    panel = crosssection.neutralize(panel, names, settings.neutral.mode)
     panel = crosssection.standardize(panel, names)
-    return panel.withColumn("composite", crosssection.equal_weight(settings.price_factors, settings.fundamental_factors))
+    return panel.withColumn("composite", crosssection.equal_weight(settings.model.price_factors, settings.model.fundamental_factors))
 
 
 #: Dates on which the market must have a return.
@@ -115,48 +114,47 @@ def usable_market(found: DataFrame | None, panel: DataFrame) -> DataFrame:
 def run_core(inputs: Inputs, settings: Settings, signal_rows: DataFrame | None = None, grid: DataFrame | None = None) -> Core:
     """Clean, score and mask. The clean panel, the factors and the scored panel are written, since several results read them, and dealt
     by asset, so that no window or join by asset after the clean panel needs an exchange of its own."""
-    check(settings)
+    quality = settings.cleaning.quality
     grid = market.price_panel(inputs.rows) if grid is None else grid
     clean = cleaning.clean_panel(
-        grid, settings.cleaning, settings.min_assets_per_date, settings.quality_lookback, settings.quality_max_hard_events, settings.quality_min_coverage
+        grid, settings.cleaning.rules, settings.cleaning.assets_per_date, quality.rows, quality.hard_events, quality.coverage
     )
-    require_rows(clean.prices, f"cleaning leaves no price (dates need {settings.min_assets_per_date} assets)")
+    require_rows(clean.prices, f"cleaning leaves no price (dates need {settings.cleaning.assets_per_date} assets)")
     panel = stage(scored_panel(clean.prices, inputs, settings, signal_rows), "scored", by="asset_id")
-    score = settings.output_factor
+    score = settings.model.output
     if score == "ridge":
-        found = ridge.ridge_scores(panel, panel, panel, settings.rebalance_freq, settings.factors, settings.ridge_alpha, settings.ridge)
+        found = ridge.ridge_scores(panel, panel, panel, settings.trading.rebalance, settings.model.factors, settings.model.penalty, settings.model.ridge)
         panel = stage(panel.join(found.select("asset_id", "date", F.col("score").alias("ridge")), ["asset_id", "date"], "left"), "with-ridge")
-    elif score not in (*settings.factors, "composite"):
-        raise ValueError(f"unknown output_factor {score!r}")
+    elif score not in (*settings.model.factors, "composite"):
+        raise ValueError(f"there is no score {score!r}")
     panel = panel.withColumn("score", F.col(score)).withColumn("required_ok", F.col("score").isNotNull())
-    cells = universe.universe(panel, settings.universe_max_assets, settings.adv_lookback, settings.min_prev_close)
+    cells = universe.universe(panel, settings.universe.assets, settings.universe.volume_rows, settings.universe.price_floor)
     cells = stage(cells, "universe", by="asset_id")
-    masked = universe.tradable(cells, "score", [*settings.factors, "composite"])
+    masked = universe.tradable(cells, "score", [*settings.model.factors, "composite"])
     tradable_prices = masked.withColumn("price", F.when(F.col("tradable"), F.col("price")))
     price_qc = qc.price_summary(clean.raw, "raw_daily").unionByName(qc.price_summary(tradable_prices, "tradable_daily"))
     return Core(
         masked, panel, clean, universe.universe_diagnostics(cells), price_qc, qc.removed_prices(clean.raw, clean.prices),
-        qc.factor_summary(masked, settings.factors, "in_universe"),
+        qc.factor_summary(masked, settings.model.factors, "in_universe"),
     )
 
 
 def evaluate(core: Core, settings: Settings) -> Run:
     panel = core.panel
-    pairs = evaluation.ic_inputs(panel, panel.select("asset_id", "date", "t", "fwd_ret"), settings.rebalance_freq, panel.select("asset_id", "date", "t", "price"))
-    ic = stage(evaluation.ic_series(pairs, settings.ic_min_assets), "ic")
-    require_rows(ic, f"no rebalance date ({settings.rebalance_freq}) has {settings.ic_min_assets} assets with a score and a return")
+    pairs = evaluation.ic_inputs(panel, panel.select("asset_id", "date", "t", "fwd_ret"), settings.trading.rebalance, panel.select("asset_id", "date", "t", "price"))
+    ic = stage(evaluation.ic_series(pairs, settings.trading.assets_for_ic), "ic")
+    require_rows(ic, f"no rebalance date ({settings.trading.rebalance}) has {settings.trading.assets_for_ic} assets with a score and a return")
     base = panel.select("asset_id", "date", F.col("in_universe").alias("base"))
     result = backtest.long_short_backtest(
-        panel, panel.select("asset_id", "date", "t", "fwd_ret"), settings.rebalance_freq, settings.turnover_cost_rate, settings.borrow_cost_rate_annual
+        panel, panel.select("asset_id", "date", "t", "fwd_ret"), settings.trading.rebalance, settings.trading.turnover_cost, settings.trading.borrow_cost
     )
     return Run(
-        core, ic, evaluation.ic_stats(ic), evaluation.ic_coverage(pairs, base, settings.ic_min_assets), result.curve, result.summary, evaluation.performance_stats(result.curve)
+        core, ic, evaluation.ic_stats(ic), evaluation.ic_coverage(pairs, base, settings.trading.assets_for_ic), result.curve, result.summary, evaluation.performance_stats(result.curve)
     )
 
 
 def run(spark: SparkSession, source: Source, settings: Settings = Settings()) -> Run:
     """The whole run; every part of the result is a lazy DataFrame."""
-    check(settings)
     return evaluate(run_core(load(spark, source, settings), settings), settings)
 
 

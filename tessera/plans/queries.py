@@ -402,13 +402,13 @@ def ridge_moments(s, d):
 
 def ridge_scores(s, d):
     panel = _standardized(s, d)
-    out = ridge.ridge_scores(panel, panel, panel, "QE", PRICED, 10.0, demo.SETTINGS.ridge)
+    out = ridge.ridge_scores(panel, panel, panel, "QE", PRICED, 10.0, demo.SETTINGS.model.ridge)
     return cells(out, "score")
 
 
 def ridge_alpha_table(s, d):
     panel = _standardized(s, d)
-    fit = ridge.tune_ridge(panel, panel, panel, "QE", PRICED, "2000-01-01", (0.1, 10.0, 1000.0), demo.SETTINGS.ridge, 5)
+    fit = ridge.tune_ridge(panel, panel, panel, "QE", PRICED, "2000-01-01", (0.1, 10.0, 1000.0), demo.SETTINGS.model.ridge, 5)
     return fit.table.select("alpha", r6("pre_mean_ic"), "pre_n_obs")
 
 
