@@ -55,6 +55,10 @@ def _standardized(source: str, names: list[str], keep: str = "asset_id, date, t,
 
 PRICED = ["momentum", "reversal", "low_vol"]
 PARTS |= {
+    "year_mkt": "select *, (sum(ret) over (partition by date) - ret) / nullif(count(ret) over (partition by date) - 1, 0) as mkt from ret_w",
+    "year_xy": "select *, case when mkt is not null then ret end as y, case when ret is not null then mkt end as x from year_mkt",
+    "year_w": """select asset_id, date, case when count(y) over w >= 200 and var_pop(x) over w > 0 then -sqrt(greatest(0, var_pop(y) over w - pow(covar_pop(y, x) over w, 2) / (var_pop(x) over w))) end as low_vol
+        from year_xy window w as (partition by asset_id order by t rows between 251 preceding and current row)""",
     "wins_m": _winsorized("priced_m", PRICED),
     "std_m": _standardized("wins_m", PRICED),
     "beta_m": """select *, case when sum(case when ret is not null and m is not null then 1 else 0 end) over w >= 6 and count(m) over w >= 6
@@ -354,6 +358,7 @@ _QUERIES: dict[str, str] = {
     "reversal": cells("priced_m", "reversal"),
     "loo_market": cells("mkt_m", "mkt"),
     "low_vol": cells("priced_m", "low_vol"),
+    "low_vol_year": cells("year_w", "low_vol"),
     "adv": cells("adv_m", "adv"),
     "terminal_missing": """select asset_id, count(*) as n_terminal, min(date) as since from (select *, coalesce(max(case when fwd_ret is not null then t end) over (partition by asset_id), 0) as last from ret_w)
         where fwd_ret is null and t > last group by asset_id""",

@@ -110,6 +110,12 @@ def low_vol(s, d):
     return cells(factors.price_factors(demo.returns(s, d), demo.LOOKS, ["low_vol"]), "low_vol")
 
 
+def low_vol_year(s, d):
+    """At a production length: 252 rows of weekly bars."""
+    made = timeseries.add_leave_one_out_market(demo.returns(s, d, "week"))
+    return cells(moving.add_low_volatility(made, "low_vol", "mkt", "ret", 252, 200), "low_vol")
+
+
 def adv(s, d):
     return cells(moving.add_average_dollar_volume(demo.grid(s, d), "adv", 3), "adv")
 
@@ -453,7 +459,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         bars_month, bars_week, dense_panel, sanitize_prices, clean_hard_events, clean_summary, sparse_date_filter, drop_empty_assets, quality_mask, two_pass_clean,
-        returns, future_returns, rolling_compound, momentum, reversal, loo_market, low_vol, adv, terminal_missing, rebalance_me, rebalance_wfri,
+        returns, future_returns, rolling_compound, momentum, reversal, loo_market, low_vol, low_vol_year, adv, terminal_missing, rebalance_me, rebalance_wfri,
         period_forward_returns, winsorize, zscore, component_mean, sector_map, sector_neutral, rolling_beta, market_neutral, composite_ew, composite_candidate,
         universe_mask, universe_diagnostics, tradable_scores, publish_align, business_days, dedupe_keep_last, asof_signals, daily_signal_ffill, growth_yoy, signals_all,
         value_factor, quality_factor, invest_factor, growth_factor, align_left, align_outer, mask_reindex, ic_momentum, ic_period, ic_stats, ic_acf, ic_coverage, decile_weights,
