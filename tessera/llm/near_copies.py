@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,14 +84,18 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int
     return keyed.mapInArrow(run, schema)
 
 
-def shared_cells(kinds: DataFrame) -> DataFrame:
-    """(band, sid, n, members): the sets of every band that more than one set has. Of bands with the same
-    sets, which near copies have by the dozen, one is left."""
-    rows = kinds.select("sid", "n", F.explode("bands").alias("band"))
+def _cells_of(rows: DataFrame, *more: str) -> DataFrame:
+    """The rows (band, sid, ...) of bands that several sets have, without bands that have the same sets as another; `more`: members, the number of sets."""
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"mark{k}") for k in (1, 2)]
     cells = rows.groupBy("band").agg(F.count("*").alias("members"), *marks).where("members > 1")
     cells = cells.groupBy("members", "mark1", "mark2").agg(F.min("band").alias("b")).select("b", "members")
-    return materialize(rows.join(cells.hint("merge"), F.col("band") == F.col("b")).select("band", "sid", "n", "members"), "shared-cells")
+    return rows.join(cells.hint("merge"), F.col("band") == F.col("b")).select(*rows.columns, *more)
+
+
+def shared_cells(kinds: DataFrame) -> DataFrame:
+    """(band, sid, n, members): the sets of every band that more than one set has. Of bands with the same
+    sets, which near copies have by the dozen, one is left."""
+    return materialize(_cells_of(kinds.select("sid", "n", F.explode("bands").alias("band")), "members"), "shared-cells")
 
 
 def star_candidates(shared: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame:
@@ -173,6 +177,49 @@ def linked_stars(stars: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return sent.repartition(partitions(stars.sparkSession), "src", "salt").sortWithinPartitions("src", "salt", "role").mapInArrow(run, "src binary, dst binary")
 
 
+def mixed_cells(labelled: DataFrame) -> DataFrame:
+    """(band, sid, n, comp, crowded): the cells (band, sid, n, comp) that hold more than one component; crowded: more than BLOCK sets."""
+    weight = 1 + F.floor(F.col("n") / 2048)
+    hashed = F.xxhash64("comp")
+    cells = labelled.groupBy(F.col("band").alias("b")).agg(F.sum(weight).alias("total"), F.min(hashed).alias("least"), F.max(hashed).alias("most"))
+    cells = cells.where("least <> most").select("b", (F.col("total") > BLOCK).alias("crowded"))
+    return materialize(labelled.join(cells.hint("merge"), F.col("band") == F.col("b")).select("band", "sid", "n", "comp", "crowded"), "mixed-cells")
+
+
+def rare_cells(crowd: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(band, sid, n, comp): cells of the sets of `crowd` (sid, n, comp) such that any two sets of different components
+    with a similarity of `threshold` or more share a cell, by exact prefix filtering.
+
+    All shingles have one order: first those that a single component has, then by the number of sets that have them. Two sets that are alike
+    share ceil(threshold * n) shingles of each, so also one of the first n - ceil(threshold * n) + 1 of both; it is the
+    band of their cell. Edits of one text that are too far apart differ in their first shingles and don't meet, however
+    many they are. Rows are linear in the shingles of `crowd`, which come once, whatever the number of cells that a set was in."""
+    told = crowd.select(F.col("sid").alias("c"), "n", F.xxhash64("comp").alias("owner")).hint("merge")
+    whole = sets.join(told, F.col("sid") == F.col("c")).select("sid", "n", "owner", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, shingles = batch.slice(k, 1).select([0, 1, 2]), _numbers(batch.column(3)[k]).view(np.int64)
+                for i in range(0, len(shingles), 1 << 14):
+                    part = pa.array(shingles[i : i + (1 << 14)])
+                    same = one.take(pa.array(np.zeros(len(part), dtype=np.int64)))
+                    yield pa.RecordBatch.from_arrays([*same.columns, part], ["sid", "n", "owner", "shingle"])
+
+    rows = materialize(whole.mapInArrow(run, "sid binary, n int, owner long, shingle long"), "crowd-shingles")
+    counts = rows.groupBy(F.col("shingle").alias("s")).agg(F.count("*").alias("holders"), F.min("owner").alias("least"), F.max("owner").alias("most"))
+    counts = counts.where("least <> most").select("s", "holders")
+    several = rows.join(counts.hint("merge"), F.col("shingle") == F.col("s")).select("sid", "n", "shingle", "holders")
+    own = Window.partitionBy("sid")
+    placed = several.withColumns({"place": F.row_number().over(own.orderBy("holders", "shingle")), "several": F.count("*").over(own)})
+    first = F.col("n") - F.ceil(F.col("n") * threshold - _TINY) + 1
+    heads = placed.where(F.col("place") <= first - (F.col("n") - F.col("several"))).select("sid", "shingle")
+    who = crowd.select(F.col("sid").alias("c"), "n", "comp").hint("merge")
+    heads = materialize(heads.join(who, F.col("sid") == F.col("c")).select("sid", "n", "comp", F.col("shingle").alias("band")), "rare-shingles")
+    discard(rows)
+    return _cells_of(heads)
+
+
 def blocks_of_cells(labelled: DataFrame) -> DataFrame:
     """(band, a, b, side, sid, comp): the blocks of the cells (band, sid, n, comp) that hold more than one
     component, by pairs of blocks that are to be compared.
@@ -202,6 +249,14 @@ def blocks_of_cells(labelled: DataFrame) -> DataFrame:
     return side(0, "a").unionByName(side(1, "b").where("a <> b"))
 
 
+def blocks_to_compare(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(band, a, b, side, sid, comp): each mixed cell of at most BLOCK sets as one block; the sets of larger ones by the cells of their rare shingles."""
+    mixed = mixed_cells(labelled)
+    once = mixed.where("not crowded").select("band", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("side"), "sid", "comp")
+    crowd = materialize(mixed.where("crowded").select("sid", "n", "comp").distinct(), "crowd")
+    return once.unionByName(blocks_of_cells(rare_cells(crowd, sets, threshold)))
+
+
 def _links_of_block(sets: list[np.ndarray], comps: list[bytes], sides: list[int], threshold: float, columns: int = 2048) -> set[tuple[bytes, bytes]]:
     """Pairs of components that two sets of one pair of blocks link, enough of them to connect what is linked.
     Common shingles of all pairs come from products of 0/1 matrices over the shingles that several sets have."""
@@ -261,7 +316,7 @@ def near_copy_groups(
 
     First each cell's sets are compared with one of them, see star_candidates; what that links needs no more
     comparing. Then, in cells that still hold several components, every set is compared with those of all other
-    components, in blocks, without a cap.
+    components: at once in a cell of at most BLOCK sets, by the cells of its rare shingles in a larger one, without a cap.
     """
     shared = shared_cells(kinds)
     stars = star_candidates(shared, kinds, threshold)
@@ -277,7 +332,7 @@ def near_copy_groups(
     labelled = shared.join(known, F.col("sid") == F.col("node"), "left").select("band", "sid", "n", F.coalesce("component", "sid").alias("comp"))
     labelled = materialize(labelled, "labelled-cells")
     discard(shared)
-    between = materialize(linked_components(blocks_of_cells(labelled), sets, threshold), "component-links")
+    between = materialize(linked_components(blocks_to_compare(labelled, sets, threshold), sets, threshold), "component-links")
     _log.info("%d links between components of stars", between.count())
     merged = materialize(connected_components(between), "merged-components")
     discard(sets)

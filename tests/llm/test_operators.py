@@ -385,6 +385,30 @@ def test_dense_cells_lose_no_link(sp, monkeypatch):
     assert {x["doc_id"] for x in out} == want and len(out) == len(want) > 100
 
 
+def test_rows_of_dense_cells_grow_with_their_texts(sp, monkeypatch):
+    """Many edits of one text that are mostly too far apart: what is sent to be compared grows with the texts, not with their pairs."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    sent = []
+    compare = near_copies.blocks_to_compare
+
+    def counted(*args):
+        out = compare(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "blocks_to_compare", counted)
+    r = random.Random(13)
+    hot = [f"h{r.randrange(3000)}" for _ in range(90)]
+    for n in (200, 800):
+        texts = [list(hot) for _ in range(n)]
+        for t in texts:
+            for k in r.sample(range(90), 5):
+                t[k] = f"h{r.randrange(3000)}"
+        out = near_copies.keep_one_of_each(frame(sp, [" ".join(t) for t in texts])).count()
+        assert n * 0.5 < out <= n
+    assert 0 < sent[1] <= 4**1.1 * max(sent[0], 200)
+
+
 # 5 language
 
 
