@@ -360,6 +360,11 @@ _QUERIES: dict[str, str] = {
     "low_vol": cells("priced_m", "low_vol"),
     "low_vol_year": cells("year_w", "low_vol"),
     "adv": cells("adv_m", "adv"),
+    "refreshed": f"""select asset_id, date, t, hard, quality_ok, {r6('price')}, {r6('momentum')}, {r6('adv')} from (
+        select asset_id, date, t, hard, price, {_compound(11, 1)} as momentum, case when count(dollar_volume) over a = 3 then avg(dollar_volume) over a end as adv,
+        coalesce(count(*) over q = 12 and avg((price is not null)::int) over q >= 0.8 and sum(hard::int) over q <= 1, false) as quality_ok
+        from ret_m window q as (partition by asset_id order by t rows between 12 preceding and 1 preceding), a as (partition by asset_id order by t rows between 3 preceding and 1 preceding)
+        ) where price is not null""",
     "terminal_missing": """select asset_id, count(*) as n_terminal, min(date) as since from (select *, coalesce(max(case when fwd_ret is not null then t end) over (partition by asset_id), 0) as last from ret_w)
         where fwd_ret is null and t > last group by asset_id""",
     "rebalance_me": "select max(date) as date from bars_d group by date_trunc('month', date)",

@@ -11,7 +11,7 @@ from tessera.functions.columns import across
 from tessera.functions.stages import stage
 from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, grid, moving, qc, ridge, timeseries, universe
 from tessera.operators.grid import align_factors_left, renumber
-from tessera.plans import demo, pipeline, protocol, views
+from tessera.plans import demo, pipeline, protocol, refresh, views
 from tessera.plans.pipeline import Inputs
 from tessera.sources import market, signals
 from tessera.streaming.bars import bars as tumbling_bars
@@ -453,6 +453,18 @@ def renumbered(s, d):
     return renumber(demo.grid(s, d).where(F.month("date") != 2)).groupBy("date").agg(F.max("t").cast("long").alias("t"))
 
 
+def refreshed(s, d):
+    """Monthly bars in three runs, each from the tail of the one before, as if they had been one run."""
+    bars, tail, parts = stage(demo.bars(s, d), "bars"), None, []
+    windows = refresh.Windows(12, 1, 3, 12, 1, 0.8, demo.RULES)
+    for start, end in (("1900-01-01", "1995-01-01"), ("1995-01-01", "1997-01-01"), ("1997-01-01", "2100-01-01")):
+        step = refresh.refresh(bars.where(F.col("date").between(start, F.date_sub(F.lit(end), 1))), tail, windows)
+        tail = step.tail
+        parts.append(step.cells)
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("price is not null")
+    return whole.select("asset_id", "date", F.col("t").cast("long").alias("t"), "hard", "quality_ok", *[r6(c) for c in ("price", "momentum", "adv")])
+
+
 QUERIES: dict[str, Query] = {
     "suspect_spike_reversal": _suspects("spike"), "suspect_persistent_shift": _suspects("shift"), "suspect_stale_jump": _suspects("stale"),
 } | {
@@ -464,7 +476,7 @@ QUERIES: dict[str, Query] = {
         universe_mask, universe_diagnostics, tradable_scores, publish_align, business_days, dedupe_keep_last, asof_signals, daily_signal_ffill, growth_yoy, signals_all,
         value_factor, quality_factor, invest_factor, growth_factor, align_left, align_outer, mask_reindex, ic_momentum, ic_period, ic_stats, ic_acf, ic_coverage, decile_weights,
         backtest_equity, backtest_summary, performance_stats, price_qc, removed_prices, factor_qc, qc_display, factor_report, stable_negative_screen, validation_matrix,
-        ridge_moments, ridge_scores, ridge_alpha_table, research_core, research_run, sql_over_views, event_bars, renumbered,
+        ridge_moments, ridge_scores, ridge_alpha_table, research_core, research_run, sql_over_views, event_bars, renumbered, refreshed,
     )
 }
 
