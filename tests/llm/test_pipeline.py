@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
     assert kept["decontamination"] == set(range(40))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(x["n_tokens"] for x in out) > 0 and {x["doc_id"] for x in out} <= set(range(40))
-    assert set(QUERIES) == {f"op{i}_{n}" for i, n in enumerate("line_dedup mixing decontamination simhash language_id token_output warc quality_rules url_filters substring_dedup".split(), 1)} | {"url_alias_verdicts"}
+    assert set(QUERIES) == {f"op{i}_{n}" for i, n in enumerate("line_dedup mixing decontamination simhash language_id token_output warc quality_rules url_filters substring_dedup conversation_repair whitening toxicity".split(), 1)} | {"url_alias_verdicts"}
 
 
 def test_stages_of_an_empty_table(spark, tmp_path):
