@@ -354,6 +354,7 @@ _QUERIES: dict[str, str] = {
     "returns": cells("ret_m", "ret"),
     "future_returns": cells("ret_m", "fwd_ret", where="date in (select date from ret_m where fwd_ret is not null)"),
     "rolling_compound": f"select asset_id, date, round({_compound(6)}, 6) + 0.0 as compounded from ret_m",
+    "windows_by_blocks": f"select asset_id, date, {r6('ret', 'momentum', 'reversal', 'adv')} from (select *, case when count(dollar_volume) over w = 3 then avg(dollar_volume) over w end as adv from priced_m window w as (partition by asset_id order by t rows between 3 preceding and 1 preceding))",
     "momentum": cells("priced_m", "momentum"),
     "reversal": cells("priced_m", "reversal"),
     "loo_market": cells("mkt_m", "mkt"),
@@ -393,6 +394,7 @@ _QUERIES: dict[str, str] = {
     "publish_align": f"select asset_id, eff_date::date as eff_date, ingest_seq::bigint as ingest_seq, {r6('revenue')} from known",
     "dedupe_keep_last": f"""select asset_id, report_date as date, ingest_seq::bigint as ingest_seq, {r6('revenue')} from known where asset_id in (select asset_id from sectors where sector <> 'ASIA')""",
     "asof_signals": f"select g.asset_id, g.date, {r6('revenue', 'net_income')} from grid_m g asof left join known k on g.asset_id = k.asset_id and g.date >= k.eff_date",
+    "asof_by_blocks": f"select g.asset_id, g.date, {r6('revenue', 'net_income')} from grid_m g asof left join known k on g.asset_id = k.asset_id and g.date >= k.eff_date",
     "daily_signal_ffill": """select asset_id, date, round(last_value(x ignore nulls) over (partition by asset_id order by t rows between 10 preceding and current row), 6) + 0.0 as roa
         from (select *, case when month(date) in (1, 7) then price end as x from grid_w)""",
     "growth_yoy": f"select asset_id, eff_date::date as eff_date, {r6('sales_growth')} from grown",
@@ -417,6 +419,7 @@ _QUERIES: dict[str, str] = {
         select *, greatest(1, floor(n * 0.1))::bigint as k from (select asset_id, date, row_number() over (partition by date order by score, asset_id) as place, count(*) over (partition by date) as n from pairs where score is not null) where n >= 2)
         where place <= k or place > n - least(k, n - k)""",
     "backtest_equity": f"select date, {r6('ret', 'equity')} from bcurve",
+    "equity_by_blocks": f"select date, {r6('equity', 'peak')} from (select date, equity, max(equity) over (order by date) as peak from bcurve)",
     "backtest_summary": f"select {r6('turnover_mean', 'turnover_cost_drag_ann', 'borrow_cost_drag_ann')} from bsum",
     "performance_stats": f"select {r6('annual_vol', 'sharpe', 'max_drawdown')} from bperf",
     "price_qc": """select 'raw' as scope, count(price) as n_observed_prices, round(min(r), 6) as ret_min, round(quantile_cont(r, 0.01), 6) as ret_p01, round(quantile_cont(r, 0.99), 6) as ret_p99,

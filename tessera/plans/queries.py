@@ -11,6 +11,8 @@ from tessera.functions.columns import across
 from tessera.functions.stages import stage
 from tessera.operators import backtest, cleaning, crosssection, evaluation, factors, grid, moving, qc, ridge, timeseries, universe
 from tessera.operators.grid import align_factors_left, renumber
+from tessera.operators.moving import add_average_dollar_volume
+from tessera.operators.timeblocks import add_running, as_of_by_blocks, cut, joined
 from tessera.plans import demo, pipeline, protocol, refresh, views
 from tessera.plans.pipeline import Inputs
 from tessera.sources import market, signals
@@ -94,6 +96,13 @@ def rolling_compound(s, d):
     return cells(demo.returns(s, d).withColumn("compounded", timeseries.compounded("ret", 6)), "compounded")
 
 
+def windows_by_blocks(s, d):
+    """Returns, momentum, reversal and dollar volume of blocks of two years of monthly bars, each with the 13 rows before it."""
+    panel = stage(demo.clean(s, d).select("asset_id", "date", "t", "price", "dollar_volume"), "clean")
+    made = timeseries.add_returns(cut(panel, 13, 24)).withColumn("momentum", timeseries.momentum(12, 1)).withColumn("reversal", timeseries.reversal(3))
+    return cells(joined(add_average_dollar_volume(made, "adv", 3)), "ret", "momentum", "reversal", "adv")
+
+
 def momentum(s, d):
     return cells(demo.returns(s, d).withColumn("momentum", timeseries.momentum(12, 1)), "momentum")
 
@@ -232,6 +241,12 @@ def asof_signals(s, d):
     return cells(market.as_of(demo.grid(s, d).select("asset_id", "date"), known, ["revenue", "net_income"]), "revenue", "net_income")
 
 
+def asof_by_blocks(s, d):
+    """asof_signals with each asset's history in blocks of 500 days."""
+    known = stage(market.publish_aligned(demo.statements(s, d), 1, "keep_last").select("asset_id", "eff_date", "revenue", "net_income"), "known")
+    return cells(as_of_by_blocks(demo.grid(s, d).select("asset_id", "date"), known, ["revenue", "net_income"], 500), "revenue", "net_income")
+
+
 def daily_signal_ffill(s, d):
     known = demo.bars(s, d, "week").where(F.month("date").isin(1, 7)).select("asset_id", "date", F.col("price").alias("roa"))
     return cells(factors.daily_signals(known, demo.grid(s, d, "week"), 10, ["roa"]), "roa")
@@ -333,6 +348,14 @@ def backtest_equity(s, d):
     return _backtest(s, d).curve.select("date", r6("ret"), r6("equity"))
 
 
+def equity_by_blocks(s, d):
+    """backtest_equity as a scan over years, and the highest equity so far."""
+    curve = _backtest(s, d).curve.select("date", "ret")
+    grown = stage(add_running(curve, {"equity": ("product", 1 + F.col("ret"))}, F.year("date"), "date", []), "equity")
+    out = add_running(grown, {"peak": ("max", F.col("equity"))}, F.year("date"), "date", [])
+    return out.select("date", r6("equity"), r6("peak"))
+
+
 def backtest_summary(s, d):
     return _backtest(s, d).summary.select(r6("turnover_mean"), r6("turnover_cost_drag_ann"), r6("borrow_cost_drag_ann"))
 
@@ -471,11 +494,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         bars_month, bars_week, dense_panel, sanitize_prices, clean_hard_events, clean_summary, sparse_date_filter, drop_empty_assets, quality_mask, two_pass_clean,
-        returns, future_returns, rolling_compound, momentum, reversal, loo_market, low_vol, low_vol_year, adv, terminal_missing, rebalance_me, rebalance_wfri,
+        returns, future_returns, rolling_compound, windows_by_blocks, momentum, reversal, loo_market, low_vol, low_vol_year, adv, terminal_missing, rebalance_me, rebalance_wfri,
         period_forward_returns, winsorize, zscore, component_mean, sector_map, sector_neutral, rolling_beta, market_neutral, composite_ew, composite_candidate,
-        universe_mask, universe_diagnostics, tradable_scores, publish_align, business_days, dedupe_keep_last, asof_signals, daily_signal_ffill, growth_yoy, signals_all,
+        universe_mask, universe_diagnostics, tradable_scores, publish_align, business_days, dedupe_keep_last, asof_signals, asof_by_blocks, daily_signal_ffill, growth_yoy, signals_all,
         value_factor, quality_factor, invest_factor, growth_factor, align_left, align_outer, mask_reindex, ic_momentum, ic_period, ic_stats, ic_acf, ic_coverage, decile_weights,
-        backtest_equity, backtest_summary, performance_stats, price_qc, removed_prices, factor_qc, qc_display, factor_report, stable_negative_screen, validation_matrix,
+        backtest_equity, equity_by_blocks, backtest_summary, performance_stats, price_qc, removed_prices, factor_qc, qc_display, factor_report, stable_negative_screen, validation_matrix,
         ridge_moments, ridge_scores, ridge_alpha_table, research_core, research_run, sql_over_views, event_bars, renumbered, refreshed,
     )
 }

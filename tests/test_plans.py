@@ -24,7 +24,7 @@ def canon(rows):
     return sorted(tuple(map(show, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["suspect_persistent_shift", "two_pass_clean", "qc_display", "sql_over_views", "low_vol", "market_neutral", "universe_mask", "asof_signals", "quality_factor", "backtest_equity", "factor_report"])
+@pytest.mark.parametrize("name", ["suspect_persistent_shift", "two_pass_clean", "qc_display", "sql_over_views", "low_vol", "market_neutral", "universe_mask", "asof_signals", "quality_factor", "backtest_equity", "factor_report", "windows_by_blocks", "asof_by_blocks", "equity_by_blocks"])
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
