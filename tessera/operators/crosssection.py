@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import across, count_non_null, ratio, sum_or_zero
+from tessera.functions.stages import stage
+from tessera.operators.ranks import with_places
 
 
 def winsorize(panel: DataFrame, names: Sequence[str], lower: float = 0.01, upper: float = 0.99) -> DataFrame:
@@ -100,10 +102,10 @@ def candidate_composite(panel: DataFrame, names: Sequence[str], min_coverage: fl
 
 def decile_weights(scores: DataFrame, score: str = "score", *extra: str) -> DataFrame:
     """(…, book, weight) of the assets held: of n >= 2 scored assets the k = max(1, n div 10) lowest are short and
-    the k highest (n - k at most) long, each with equal weights; ties are in the order of assets."""
-    scored = scores.where(F.col(score).isNotNull())
-    w = Window.partitionBy(*extra, "date")
-    ranked = scored.withColumn("place", F.row_number().over(w.orderBy(score, "asset_id"))).withColumn("n", F.count(F.lit(1)).over(w)).where("n >= 2")
+    the k highest (n - k at most) long, each with equal weights; ties are in the order of assets. The scored rows are written once, and a date
+    of very many is sorted by ranges."""
+    scored = stage(scores.where(F.col(score).isNotNull()).select(*extra, "asset_id", "date", "t", score), "scored-rows")
+    ranked = with_places(scored, [*extra, "date"], [score, "asset_id"]).where("n >= 2")
     ranked = ranked.withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") * 0.1)).cast("int"))
     n_long = F.least(F.col("k"), F.col("n") - F.col("k"))
     book = F.when(F.col("place") <= F.col("k"), "short").when(F.col("place") > F.col("n") - n_long, "long")

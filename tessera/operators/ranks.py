@@ -46,3 +46,19 @@ def with_average_ranks(rows: DataFrame, keys: Sequence[str], values: Sequence[st
     """One or the other, by a count of the largest group. `rows` is read several times, so it should be a written table."""
     most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     return by_ranges(rows, keys, values) if most > large else by_window(rows, keys, values)
+
+
+def with_places(rows: DataFrame, keys: Sequence[str], order: Sequence[str], large: int = LARGE) -> DataFrame:
+    """`rows` with place, from 1 in each group by `order`, which has no ties, and n, the group's rows. A group of more than `large` rows is sorted
+    over all tasks by ranges; each numbers its own rows and starts after those of the ranges before. `rows` is read twice, so it should be a written table."""
+    n = F.count(F.lit(1))
+    if (rows.groupBy(*keys).agg(n.alias("n")).agg(F.max("n")).first()[0] or 0) <= large:
+        w = Window.partitionBy(*keys)
+        return rows.withColumn("place", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("n", n.over(w))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(rows.repartitionByRange(parts, *keys, *order).withColumn("__range", F.spark_partition_id()), "place-ranges")
+    groups = Window.partitionBy(*keys)
+    before = F.sum("__in").over(groups.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy(*keys, "__range").agg(n.alias("__in")).withColumns({"__start": F.coalesce(before, F.lit(0)), "n": F.sum("__in").over(groups)}).drop("__in")
+    local = ranged.withColumn("__at", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order)))
+    return local.join(starts, [*keys, "__range"]).withColumn("place", F.col("__start") + F.col("__at")).select(*rows.columns, "place", "n")

@@ -129,7 +129,7 @@ def run_core(inputs: Inputs, settings: Settings, signal_rows: DataFrame | None =
         raise ValueError(f"there is no score {score!r}")
     panel = panel.withColumn("score", F.col(score)).withColumn("required_ok", F.col("score").isNotNull())
     cells = universe.universe(panel, settings.universe.assets, settings.universe.volume_rows, settings.universe.price_floor)
-    cells = stage(cells, "universe", by="asset_id")
+    cells = stage(cells, "universe", by="asset_id", dealt=True)
     masked = universe.tradable(cells, "score", [*settings.model.factors, "composite"])
     tradable_prices = masked.withColumn("price", F.when(F.col("tradable"), F.col("price")))
     price_qc = qc.price_summary(clean.raw, "raw_daily").unionByName(qc.price_summary(tradable_prices, "tradable_daily"))

@@ -204,7 +204,7 @@ def composite_candidate(s, d):
 def _universe(s, d) -> DataFrame:
     masked = cleaning.quality_mask(demo.clean(s, d), 12, 1, 0.9)
     panel = timeseries.add_returns(masked.drop("ret")).withColumn("required_ok", timeseries.momentum(12, 1).isNotNull())
-    return universe.universe(panel, 20, 3, 900.0)
+    return universe.universe(stage(panel, "uncapped", by="asset_id", dealt=True), 20, 3, 900.0)
 
 
 def universe_mask(s, d):

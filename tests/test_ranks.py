@@ -5,9 +5,10 @@ import random
 
 import pytest
 from helpers import panel
+from pyspark.sql import functions as F
 
 from tessera.functions.stages import stage
-from tessera.operators import evaluation, ranks
+from tessera.operators import crosssection, evaluation, ranks
 
 
 def rows(spark, seed=0):
@@ -37,3 +38,21 @@ def test_large_dates_go_by_ranges(spark, monkeypatch):
 def test_no_rows(spark):
     none = stage(panel(spark, {1: [1.0]}, "score").where("false"), "none")
     assert ranks.with_average_ranks(none, ["date"], ["score"]).collect() == []
+
+
+def test_places_by_ranges_are_those_of_a_window(spark):
+    df = stage(rows(spark, 2), "placed")
+    found = [sorted((r["asset_id"], r["place"], r["n"]) for r in ranks.with_places(df, ["date"], ["score", "asset_id"], large).collect()) for large in (10**6, 10)]
+    assert found[0] == found[1] and len(found[0]) == df.count() and max(p for _, p, _ in found[0]) == 3000
+    ranged = ranks.with_places(df, ["date"], ["score", "asset_id"], 10)
+    assert ranged.columns == [*df.columns, "place", "n"]
+    assert ranks.with_places(stage(df.where("false"), "none"), ["date"], ["score"]).collect() == []
+
+
+def test_deciles_of_a_large_date_by_ranges(spark, monkeypatch):
+    """A third of the large date's scores are equal, so that ties lie across the ends of ranges and of books."""
+    df = rows(spark, 4).withColumn("t", F.lit(1))
+    weights = lambda: sorted(tuple(r) for r in crosssection.decile_weights(df).collect())
+    want = weights()
+    monkeypatch.setattr(ranks.with_places, "__defaults__", (10,))
+    assert weights() == want and sum(w[4] == "short" and w[1] == dt.date(2020, 1, 1) for w in [(r[0], r[1], r[2], r[4], r[3]) for r in want]) == 300
