@@ -13,15 +13,16 @@ def calendar(rows: DataFrame, date_col: str = "date") -> DataFrame:
     return rows.select(F.col(date_col).alias("date")).distinct().withColumn("t", F.row_number().over(Window.orderBy("date")))
 
 
-def dense_grid(rows: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+def dense_grid(rows: DataFrame, dates: DataFrame | None = None, written: bool = False) -> DataFrame:
     """Every asset of `rows` at every date of the calendar, with the values of `rows` or NULL.
 
-    The rows are written once, dealt out by asset: the only exchange of rows; calendar, assets and values read that table.
+    The rows are written once, dealt out by asset: the only exchange of rows; calendar, assets and values read that table. `written`: they
+    come from such a table already.
     The calendar goes along with each asset as one array (its size is the number of dates), so the grid is made by a generator per
     asset and not by a cartesian product, and joined with the rows where they lie, by the partitioning that the
     window operators need. Of rows that share a cell the filled values count, any one of several; rows at dates that
     the calendar lacks go."""
-    rows = stage(rows, "rows", by="asset_id")
+    rows = rows if written else stage(rows, "rows", by="asset_id")
     dates = calendar(rows) if dates is None else dates
     spots = dates.agg(F.sort_array(F.collect_list(F.struct("t", "date"))).alias("spots"))
     assets = rows.select("asset_id").distinct().crossJoin(F.broadcast(spots))

@@ -15,41 +15,42 @@ from tessera.functions.columns import by_asset, positive, ratio
 _FIELDS = ("n", "y", "x", "yy", "xx", "xy")
 
 
-def _running(y: Column, x: Column, frame) -> Column:
-    """(n, means, centred sums of squares and of products) over a running frame; zeros where there is nothing."""
+def _running(y: Column, x: Column, frame, fields: tuple[str, ...]) -> Column:
+    """Those of n, the means, the centred sums of squares and of products that are wanted, over a running frame; zeros where there is nothing."""
     n = F.count(y).over(frame)
     or_zero = lambda c: F.coalesce(c, F.lit(0.0))
     parts = (
         n.cast("double"), or_zero(F.avg(y).over(frame)), or_zero(F.avg(x).over(frame)), or_zero(F.var_pop(y).over(frame) * n), or_zero(F.var_pop(x).over(frame) * n),
         or_zero(F.covar_pop(y, x).over(frame) * n),
     )
-    return F.struct(*[p.alias(name) for name, p in zip(_FIELDS, parts)])
+    return F.struct(*[p.alias(name) for name, p in zip(_FIELDS, parts) if name in fields])
 
 
-def _merged(a: Column, b: Column) -> Column:
+def _merged(a: Column, b: Column, fields: tuple[str, ...]) -> Column:
     """The moments of two sets of rows from those of each."""
     n = a["n"] + b["n"]
     share = lambda c: F.when(n > 0, c / F.when(n > 0, n)).otherwise(0.0)
     dy, dx, both = b["y"] - a["y"], b["x"] - a["x"], share(a["n"] * b["n"])
     parts = (n, a["y"] + dy * share(b["n"]), a["x"] + dx * share(b["n"]), a["yy"] + b["yy"] + dy * dy * both, a["xx"] + b["xx"] + dx * dx * both, a["xy"] + b["xy"] + dy * dx * both)
-    return F.struct(*[p.alias(name) for name, p in zip(_FIELDS, parts)])
+    return F.struct(*[p.alias(name) for name, p in zip(_FIELDS, parts) if name in fields])
 
 
-def add_moments(panel: DataFrame, rows: int, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+def add_moments(panel: DataFrame, rows: int, pairs: dict[str, tuple[str, str]], fields: tuple[str, ...] = _FIELDS) -> DataFrame:
     """The panel with a struct (n, y, x, yy, xx, xy) for each name: of the pair of columns (y, x), over the last `rows` rows of the asset
-    where both are there, their number, means, centred sums of squares and of products."""
+    where both are there, their number, means, centred sums of squares and of products. `fields`: the ones that are wanted, since Spark
+    doesn't find out by itself that others aren't; a field needs n and the means that its merging takes."""
     positive(rows, "rows")
     names = list(pairs)
     block = Window.partitionBy("asset_id", "__block").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     rest = Window.partitionBy("asset_id", "__block").orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
     both = {n: (F.when(F.col(x).isNotNull(), F.col(y)), F.when(F.col(y).isNotNull(), F.col(x))) for n, (y, x) in pairs.items()}
     out = panel.withColumn("__i", F.row_number().over(by_asset()) - 1).withColumn("__block", F.floor(F.col("__i") / rows))
-    out = out.withColumns({f"__start_{n}": _running(*both[n], block) for n in names})
-    out = out.withColumns({f"__end_{n}": _running(*both[n], rest) for n in names})
+    out = out.withColumns({f"__start_{n}": _running(*both[n], block, fields) for n in names})
+    out = out.withColumns({f"__end_{n}": _running(*both[n], rest, fields) for n in names})
     # the window's first row lies in the block before, unless the window is a block
     out = out.withColumns({f"__end_{n}": F.lag(f"__end_{n}", rows - 1).over(by_asset()) for n in names})
     split = F.col("__i") % rows != rows - 1
-    made = {n: F.when(split & F.col(f"__end_{n}").isNotNull(), _merged(F.col(f"__end_{n}"), F.col(f"__start_{n}"))).otherwise(F.col(f"__start_{n}")) for n in names}
+    made = {n: F.when(split & F.col(f"__end_{n}").isNotNull(), _merged(F.col(f"__end_{n}"), F.col(f"__start_{n}"), fields)).otherwise(F.col(f"__start_{n}")) for n in names}
     return out.withColumns(made).drop("__i", "__block", *[f"__{k}_{n}" for k in ("start", "end") for n in names])
 
 
@@ -74,6 +75,6 @@ def add_rolling_beta(panel: DataFrame, out: str = "beta", market: str = "mkt", r
 def add_average_dollar_volume(panel: DataFrame, out: str = "adv", lookback: int = 63, volume: str = "dollar_volume") -> DataFrame:
     """The mean over the `lookback` rows before the present one, all of which must be there."""
     positive(lookback, "rows of average dollar volume")
-    made = add_moments(panel, lookback, {"__m": (volume, volume)})
+    made = add_moments(panel, lookback, {"__m": (volume, volume)}, ("n", "y"))
     whole = F.when(F.col("__m")["n"] == lookback, F.col("__m")["y"])
     return made.withColumn(out, whole).withColumn(out, F.lag(out).over(by_asset())).drop("__m")

@@ -3,7 +3,7 @@ price over a bar is the price, its sales the dollar volume, its region the secto
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.stages import stage
@@ -34,14 +34,32 @@ def bars(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     """(asset_id, date, price, dollar_volume). The scan reads four columns; sums combine map-side. Amounts
     are summed in whole cents, so a bar doesn't depend on the order in which partitions are added up."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id"), F.date_trunc(unit, "l_shipdate").cast("date").alias("date"))
-    sums = rows.agg((F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5)) / 100.0).alias("dollar_volume"), F.sum("l_quantity").alias("q"))
+    return _priced(rows.agg(*_bar_sums()))
+
+
+def _bar_sums() -> list[Column]:
+    return [(F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5)) / 100.0).alias("dollar_volume"), F.sum("l_quantity").alias("q")]
+
+
+def _priced(sums: DataFrame) -> DataFrame:
     return sums.select("asset_id", "date", (F.col("dollar_volume") / F.when(F.col("q") != 0, F.col("q"))).alias("price"), "dollar_volume")
 
 
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What bars and statements add up, by asset and month, from one scan; written, dealt by asset."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id"), F.date_trunc("month", "l_shipdate").cast("date").alias("date"))
+    return stage(rows.agg(*_bar_sums(), *[F.sum(c).alias(name) for name, c in _amounts().items()]), "sales", by="asset_id")
+
+
 def grid(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     return dense_grid(bars(spark, sf_dir, unit))
 
 
+def grid_of(sold: DataFrame) -> DataFrame:
+    """The monthly grid from sales()."""
+    return dense_grid(_priced(sold), written=True)
+
+
 def clean(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     """The grid, cleaned once: price, ret before cleaning and the flags."""
     return cleaning.clean_prices(grid(spark, sf_dir, unit), RULES)
@@ -61,32 +79,39 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("s_suppkey").alias("asset_id"), F.col("r_name").alias("sector"))
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _amounts() -> dict[str, Column]:
+    """The amounts of a statement, of one line item."""
+    price, off = F.col("l_extendedprice"), F.col("l_discount")
+    return {
+        "revenue": price * (1 - off), "gross_profit": price * (F.lit(0.9) - off), "operating_income": price * (F.lit(0.5) - off - F.col("l_tax")),
+        "net_income": price * (F.lit(0.4) - off - F.col("l_tax")), "total_assets": F.col("l_quantity") * 2000.0,
+        "total_debt": F.col("l_quantity") * F.col("l_tax") * 10000.0, "shares": F.col("l_quantity"),
+    }
+
+
+def statements(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> DataFrame:
     """Quarterly pseudo-statements: asset_id, report_date (quarter's end), publish_date (45 days on), fiscal_year,
     fiscal_period, ingest_seq and amounts derived from a supplier's sales. A late revision (the same figures
-    times 1.01, one in seven) shares its publish date."""
-    quarter = F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2))
-    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset_id"), quarter.alias("report_date")).agg(
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
-        F.sum(F.col("l_extendedprice") * (F.lit(0.9) - F.col("l_discount"))).alias("gross_profit"),
-        F.sum(F.col("l_extendedprice") * (F.lit(0.5) - F.col("l_discount") - F.col("l_tax"))).alias("operating_income"),
-        F.sum(F.col("l_extendedprice") * (F.lit(0.4) - F.col("l_discount") - F.col("l_tax"))).alias("net_income"),
-        F.sum(F.col("l_quantity") * 2000.0).alias("total_assets"),
-        F.sum(F.col("l_quantity") * F.col("l_tax") * 10000.0).alias("total_debt"),
-        F.sum("l_quantity").alias("shares"),
-    )
+    times 1.01, one in seven) shares its publish date. With `sold`, they are added up from sales() instead of from line items."""
+    asset, day, amounts = F.col("l_suppkey"), F.col("l_shipdate"), _amounts()
+    if sold is not None:
+        asset, day, amounts = F.col("asset_id"), F.col("date"), {name: F.col(name) for name in amounts}
+    quarter = F.last_day(F.add_months(F.trunc(day, "quarter"), 2))
+    rows = table(spark, sf_dir, "lineitem") if sold is None else sold
+    sums = rows.groupBy(asset.alias("asset_id"), quarter.alias("report_date")).agg(*[F.sum(c).alias(name) for name, c in amounts.items()])
     rows = sums.withColumn("publish_date", F.date_add("report_date", 45)).withColumn("fiscal_year", F.year("report_date")).withColumn("fiscal_period", F.concat(F.lit("Q"), F.quarter("report_date").cast("string")))
-    first = rows.withColumn("ingest_seq", F.lit(1).cast("long"))
-    late = rows.where("(asset_id + fiscal_year) % 7 = 0").withColumn("ingest_seq", F.lit(2).cast("long")).withColumn("revenue", F.col("revenue") * 1.01)
-    return first.unionByName(late)
+    versions = F.sequence(F.lit(1), F.when((F.col("asset_id") + F.col("fiscal_year")) % 7 == 0, 2).otherwise(1))
+    versioned = rows.withColumn("ingest_seq", F.explode(versions)).withColumn("ingest_seq", F.col("ingest_seq").cast("long"))
+    return versioned.withColumn("revenue", F.when(F.col("ingest_seq") == 2, F.col("revenue") * 1.01).otherwise(F.col("revenue")))
 
 
-def signal_rows(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
-    """The thirteen signals at the grid's dates, from the statements as known then."""
+def signal_rows(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None, sold: DataFrame | None = None) -> DataFrame:
+    """The thirteen signals at the grid's dates, from the statements as known then. These are written once, dealt by asset, since
+    three sets are made of them."""
     from tessera.sources import signals
     from tessera.sources.market import publish_aligned
 
-    known = publish_aligned(stage(statements(spark, sf_dir), "statements", by="asset_id"), 1, "keep_last")
+    known = stage(publish_aligned(statements(spark, sf_dir, sold), 1, "keep_last"), "statements", by="asset_id", dealt=sold is not None)
     known = known.withColumn("equity", F.col("total_assets") - F.col("total_debt")).withColumn("free_cash_flow", F.col("operating_income") * 0.8).withColumn("dividends_paid", F.col("net_income") * 0.3)
     market = (grid(spark, sf_dir) if cells is None else cells).select("asset_id", "date", F.col("price").alias("close"))
     return signals.signals(market, {"income_ttm": known, "balance_quarterly": known, "cashflow_ttm": known})

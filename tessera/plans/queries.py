@@ -148,8 +148,8 @@ def period_forward_returns(s, d):
 
 
 def _scored(s, d) -> DataFrame:
-    """Price factors of clean monthly bars, with returns."""
-    return factors.price_factors(demo.returns(s, d), demo.LOOKS)
+    """Price factors of clean monthly bars, with returns; written, since winsorizing and standardizing read them several times."""
+    return stage(factors.price_factors(demo.returns(s, d), demo.LOOKS), "price-factors", by="asset_id", dealt=True)
 
 
 PRICED = ["momentum", "reversal", "low_vol"]
@@ -442,8 +442,9 @@ def ridge_alpha_table(s, d):
 
 
 def _core(s, d):
-    cells = stage(demo.grid(s, d), "grid", by="asset_id", dealt=True)
-    return pipeline.run_core(Inputs(cells.where("price is not null"), {}), demo.SETTINGS, demo.signal_rows(s, d, cells), cells)
+    sold = demo.sales(s, d)
+    cells = stage(demo.grid_of(sold), "grid", by="asset_id", dealt=True)
+    return pipeline.run_core(Inputs(cells.where("price is not null"), {}), demo.SETTINGS, demo.signal_rows(s, d, cells, sold), cells)
 
 
 def research_core(s, d):

@@ -108,3 +108,14 @@ def test_missing_columns_are_named(spark):
 def test_left_alignment_keeps_the_returns_assets(spark):
     out = align_factors_left(panel(spark, {1: [1, 2]}, "f"), panel(spark, {1: [1, 2, 3], 2: [1, 2, 3]}, "fwd_ret"))
     assert values(out, "f") == [1, 2, None, None]
+
+
+def test_bounds_of_large_dates_are_exact(spark):
+    """From the tails alone, with ties, NULLs and a date without values, as Spark's exact percentile gives them."""
+    v = "case when id % 7 = 0 then null when id % 5 = 0 then 40.0 else (id * 7919) % 1009 + id / 1e4 end"
+    rows = spark.range(6000).selectExpr("id as asset_id", "date'2020-01-01' + cast(id % 3 as int) as date", f"case when id % 3 < 2 then {v} end as x", "-id * 0.5 as y")
+    for lower, upper in ((0.01, 0.99), (0.05, 0.95), (0.0, 1.0)):
+        got = {r["date"]: tuple(r)[1:] for r in crosssection.date_bounds(rows, ["x", "y"], lower, upper, few=100).collect()}
+        ends = F.array(F.lit(lower), F.lit(upper))
+        want = {r["date"]: (*(r["x"] or (None, None)), *r["y"]) for r in rows.groupBy("date").agg(F.percentile("x", ends).alias("x"), F.percentile("y", ends).alias("y")).collect()}
+        assert got == want
