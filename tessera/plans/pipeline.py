@@ -26,18 +26,37 @@ class Inputs:
     market: DataFrame | None = None
 
 
+class _Asked:
+    """A field given as a table, or as a function that makes the table when it is first asked for."""
+
+    def __set_name__(self, owner, name: str) -> None:
+        self.name = f"_{name}"
+
+    def __get__(self, core, owner=None) -> DataFrame:
+        if core is None:
+            raise AttributeError(self.name)  # the field has no default
+        found = getattr(core, self.name)
+        if callable(found):
+            found = found()
+            setattr(core, self.name, found)
+        return found
+
+    def __set__(self, core, given) -> None:
+        setattr(core, self.name, given)
+
+
 @dataclass
 class Core:
     """panel: a row a cell with price, fwd_ret, the score, all factors and the masks, tradable ones only;
-    unmasked: the same before the mask."""
+    unmasked: the same before the mask. The quality tables are made when they are asked for, since their exact quantiles take jobs of their own."""
 
     panel: DataFrame
     unmasked: DataFrame
     clean: cleaning.CleanPanel
     diagnostics: DataFrame
-    price_qc: DataFrame
-    removed: DataFrame
-    factor_qc: DataFrame
+    price_qc: DataFrame = _Asked()
+    removed: DataFrame = _Asked()
+    factor_qc: DataFrame = _Asked()
 
 
 @dataclass
@@ -132,10 +151,10 @@ def run_core(inputs: Inputs, settings: Settings, signal_rows: DataFrame | None =
     cells = stage(cells, "universe", by="asset_id", dealt=True)
     masked = universe.tradable(cells, "score", [*settings.model.factors, "composite"])
     tradable_prices = masked.withColumn("price", F.when(F.col("tradable"), F.col("price")))
-    price_qc = qc.price_summary(clean.raw, "raw_daily").unionByName(qc.price_summary(tradable_prices, "tradable_daily"))
     return Core(
-        masked, panel, clean, universe.universe_diagnostics(cells), price_qc, qc.removed_prices(clean.raw, clean.prices),
-        qc.factor_summary(masked, settings.model.factors, "in_universe"),
+        masked, panel, clean, universe.universe_diagnostics(cells),
+        lambda: qc.price_summary(clean.raw, "raw_daily").unionByName(qc.price_summary(tradable_prices, "tradable_daily")),
+        lambda: qc.removed_prices(clean.raw, clean.prices), lambda: qc.factor_summary(masked, settings.model.factors, "in_universe"),
     )
 
 

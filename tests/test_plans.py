@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.functions import stages
 from tessera.functions.stages import stage
-from tessera.operators import grid
+from tessera.operators import grid, qc
 from tessera.operators.cleaning import CleanPanel
 from tessera.plans import demo, pipeline, protocol, views
 from tessera.plans.oracles import ORACLES
@@ -161,3 +161,25 @@ def test_views(spark):
     assert "mine_ic" in views.register(pipeline.Run(core, *[df] * 6), "mine")
     with pytest.raises(ValueError, match="name of a view"):
         views.register(core, "no name")
+
+
+def test_a_run_scans_line_items_once_and_deals_no_panel_by_date(spark, sf_dir, monkeypatch):
+    """Bars and statements come from one written aggregate, and standardizing needs no window by date; nothing is done for quality tables that nobody asks for."""
+    plans = {}
+
+    def recording(df, name, *args, **kwargs):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name, *args, **kwargs)
+
+    for module in (pipeline, demo, grid, qc):
+        monkeypatch.setattr(module, "stage", recording)
+    QUERIES["research_core"](spark, sf_dir)
+    assert {name: p.count("lineitem.parquet") for name, p in plans.items() if "lineitem" in p} == {"sales": 1}
+    assert [name for name in ("fundamental-factors", "scored") if "Window" in plans[name]] == []
+    assert "factor-cells" not in plans
+
+
+def test_quality_tables_are_made_once_when_asked_for(spark):
+    df, made = spark.range(1), []
+    core = pipeline.Core(df, df, CleanPanel(df, df, df), df, lambda: made.append("price") or df, df, lambda: made.append("factor") or df)
+    assert made == [] and core.price_qc is df and core.price_qc is df and core.removed is df and made == ["price"]
